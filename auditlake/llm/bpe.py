@@ -116,7 +116,8 @@ _tools: dict[tuple[str, str], tuple] = {}
 def tools(vocabulary: str, pattern: str):
     """The merge replay, and the cache of encoded pieces, of one rank file; one per Python worker."""
     if (vocabulary, pattern) not in _tools:
-        import numpy as np
+        from array import array
+
         import regex
 
         replay, find = MergeReplay(load_ranks(vocabulary)), regex.compile(pattern).findall
@@ -124,7 +125,7 @@ def tools(vocabulary: str, pattern: str):
         def encode(texts: list[str]) -> list[bytes]:
             matches = [find(t) for t in texts]
             words = list({w for ms in matches for w in ms})
-            ids = dict(zip(words, (np.array(x, "<i4").tobytes() for x in replay.encode([w.encode() for w in words])), strict=True))
+            ids = dict(zip(words, (array("i", x).tobytes() for x in replay.encode([w.encode() for w in words])), strict=True))
             return [b"".join([ids[m] for m in ms]) for ms in matches]
 
         _tools[vocabulary, pattern] = replay, PieceCache(encode)

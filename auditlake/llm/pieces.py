@@ -1,7 +1,8 @@
 """Byte-level tokenizers split the space-separated pieces of a text independently; this encodes each piece once.
 
 A piece is what stands between two single spaces. With the space before it, it is split alone as it is in its text,
-unless blanks touch blanks there; a text where that happens is encoded whole.
+unless blanks touch blanks there; a text where that happens is encoded whole. Marks at the end of a piece that come
+after a letter are split from it, so they are encoded by themselves.
 """
 
 from __future__ import annotations
@@ -10,30 +11,55 @@ from collections.abc import Callable, Iterator
 
 #: Texts of at least so many characters in all are encoded together.
 BATCH_CHARS = 2 << 20
+#: Marks that never belong to a word before them.
+MARKS = ".,;:!?*#%&$|)"
 
 
 class PieceCache:
-    """Results of encode(strings) by piece, kept in a Python worker while they number at most `most`."""
+    """Results of encode(strings) -> list of bytes by piece, kept in a Python worker while they number at most `most`."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 500_000):
-        self.encode, self.most, self.known, self.chars = encode, most, {}, 0
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 800_000):
+        self.encode, self.most, self.known, self.tails, self.chars = encode, most, {}, {}, 0
 
-    def lists(self, texts: list[str]) -> list[list]:
+    def _learn(self, new: set[str]) -> None:
+        known, tails = self.known, self.tails
+        parts, words, marks = [], set(), set()
+        for p in new:
+            if not p or p[0].isspace() or p[-1].isspace():
+                known[p] = None
+                continue
+            word = p.rstrip(MARKS)
+            if word != p and word and word[-1].isalpha():
+                mark = p[len(word) :]
+                parts.append((p, word, mark))
+                if mark not in tails:
+                    marks.add(mark)
+                if word not in known:
+                    words.add(word)
+            else:
+                words.add(p)
+        words, marks = list(words), list(marks)
+        known.update(zip(words, self.encode([" " + w for w in words]), strict=True))
+        tails.update(zip(marks, self.encode(marks), strict=True))
+        for p, word, mark in parts:
+            known[p] = known[word] + tails[mark]
+        self.chars += sum(map(len, new)) + sum(map(len, words))
+
+    def lists(self, texts: list[str]) -> list[list[bytes]]:
         """For each text the results of its pieces, in order."""
-        if len(self.known) > self.most or self.chars > 20 * self.most:
-            self.known, self.chars = {}, 0
-        known = self.known
+        if len(self.known) > self.most or len(self.tails) > self.most or self.chars > 20 * self.most:
+            self.known, self.tails, self.chars = {}, {}, 0
         split = [t.split(" ") for t in texts]
-        new = {p for s in split for p in s[1:]} - known.keys()
-        alone = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(alone, self.encode([" " + p for p in alone]), strict=True))
-        self.chars += sum(map(len, new))
+        new = set()
+        for s in split:
+            new.update(s[1:])
+        self._learn(new - self.known.keys())
+        known = self.known.__getitem__
         firsts = list({s[0] for s in split})
         first = dict(zip(firsts, self.encode(firsts), strict=True))
         out = []
         for t, s in zip(texts, split, strict=True):
-            got = [first[s[0]], *[known[p] for p in s[1:]]]
+            got = [first[s[0]], *map(known, s[1:])]
             out.append(self.encode([t]) if None in got or s[0][-1:].isspace() else got)
         return out
 

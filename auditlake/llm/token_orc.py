@@ -22,12 +22,13 @@ def encoder(vocabulary: str) -> PieceCache:
     """The tokenizers library on one vocabulary file, one per Python worker."""
     if vocabulary not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
+        from array import array
+
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(vocabulary)
         t.encode_special_tokens = True
-        _encoders[vocabulary] = PieceCache(lambda xs: [np.array(e.ids, "<i4").tobytes() for e in t.encode_batch(xs, add_special_tokens=False)])
+        _encoders[vocabulary] = PieceCache(lambda xs: [array("i", e.ids).tobytes() for e in t.encode_batch(xs, add_special_tokens=False)])
     return _encoders[vocabulary]
 
 
