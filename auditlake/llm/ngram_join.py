@@ -15,8 +15,9 @@ SMALL_ROWS = 500_000
 SIGNATURE = 16
 #: Rows of one block of the frequency sketch, and the least and most bits of its cells (64 MB at most).
 BLOCK_BITS, LEAST_BITS, MOST_BITS = 14, 16, 24
-#: Pairs of different components are listed when they number at most so many per posting; before, more star rounds run.
-PAIRS_PER_ROW, STAR_ROUNDS = 2, 6
+#: After a star round, postings of different components are compared with each other if they make at most so many pairs a
+#: posting; else another star round goes before, STAR_ROUNDS in all at most.
+PAIRS_PER_ROW, STAR_ROUNDS = 2000, 3
 
 
 def shingle_set(text: str | None, gram: int):
@@ -93,7 +94,7 @@ def _postings(gram: int, percent: int, cells):
         import numpy as np
         import pyarrow as pa
 
-        count = cells.value
+        count, given = cells.value, set()
         shift = np.uint64(64 - int(len(count)).bit_length() + 1)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
@@ -101,10 +102,12 @@ def _postings(gram: int, percent: int, cells):
                 for text in b.column(0).slice(lo, 500).to_pylist():
                     h = shingle_set(text, gram)
                     n = len(h)
-                    if n:
+                    own = class_of(h) if n else None
+                    if n and own not in given:
+                        given.add(own)  # copies within a task give their postings once
                         rare = np.lexsort((h, count[(h >> shift).astype(np.int64)]))[: n - needed(n, percent) + 1]
                         token.append(h[rare].view(np.int64))
-                        cls.append(np.full(len(rare), class_of(h), np.int64))
+                        cls.append(np.full(len(rare), own, np.int64))
                         size.append(np.full(len(rare), n, np.int32))
                         at.append(np.arange(len(rare), dtype=np.int32))
                 if token:
@@ -196,23 +199,35 @@ class NgramJoin:
         got = join_counted(rows.withColumnRenamed("n", "size"), tokens, "token", "class")
         return materialize(got.groupBy("token", "class").agg(F.first("size").alias("size"), F.first("at").alias("at")), "ngram-shared")
 
+    def _may_link(self) -> str:
+        """Length and positional filters of two postings of a token, and the shorter index prefix of the smaller set."""
+        p = self.percent
+        index = lambda size: f"{size} - cast(ceil({2 * p} * cast({size} as double) / {100 + p} - 1e-9) as int) + 1"
+        return f"""root <> root2 and 100L * least(size, size2) >= {p}L * greatest(size, size2)
+            and {100 + p}L * (least(at, at2) + least(size - at, size2 - at2)) >= {p}L * (size + size2)
+            and if(size < size2 or (size = size2 and class < class2), at < {index("size")}, at2 < {index("size2")})"""
+
     def candidates(self, left: DataFrame, tested: DataFrame | None, star: int | None) -> DataFrame:
-        """Pairs a < b of different roots that pass the filters; of a star round, each with its token's pivot only."""
+        """Pairs a < b of different roots that pass the filters; of a star round, each with its token's pivot only.
+
+        The first pivot is the class with the fewest rarer shingles before the token: of a text and its edited copies
+        that is mostly the text itself, since edits make rare shingles.
+        """
+        columns = ("class", "size", "at", "root")
         if star is not None:
-            order = F.xxhash64("class", F.lit(star)) if star else F.col("class")
-            pivot = left.groupBy("token").agg(F.min(F.struct(order.alias("o"), "class", "size", "at", "root")).alias("p"), F.count("*").alias("n"))
-            pairs = join_counted(left, materialize(pivot, "ngram-pivots"), "token", "class").select("class", "size", "at", "root", F.col("p.class").alias("class2"), F.col("p.size").alias("size2"), F.col("p.at").alias("at2"), F.col("p.root").alias("root2"))
-            pairs = pairs.filter("root <> root2")
+            order = F.xxhash64("class", F.lit(star)) if star else F.col("at").cast("long")
+            pivot = left.groupBy("token").agg(F.min(F.struct(order.alias("o"), *columns)).alias("p"), F.count("*").alias("n"))
+            pairs = join_counted(left, materialize(pivot, "ngram-pivots"), "token", "class").select(*columns, *[F.col(f"p.{c}").alias(f"{c}2") for c in columns]).filter(self._may_link())
         else:
-            right = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("class", "size", "at", "root")])
-            pairs = left.join(right, "token").filter("class < class2 and root <> root2")
+            right = left.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
+            pairs = left.join(right, "token").filter(f"class < class2 and {self._may_link()}")
         p = self.percent
-        pairs = pairs.filter(f"100L * least(size, size2) >= {p}L * greatest(size, size2)")
         sides = [(F.when(F.col("class") < F.col("class2"), F.col(x)).otherwise(F.col(y))).alias(z) for x, y, z in (("class", "class2", "a"), ("class2", "class", "b"), ("size", "size2", "na"), ("size2", "size", "nb"), ("at", "at2", "pa"), ("at2", "at", "pb"))]
         pairs = pairs.select(*sides).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("same"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-        # positional filter: what both have up to their last common prefix token, and at most all that follows it
         need = f"({p}L * (na + nb))"
-        pairs = pairs.filter(f"{100 + p}L * (same + least(na - pa, nb - pb) - 1) >= {need}")
+        if star is None:
+            # positional filter: what both have up to their last common prefix token, and at most all that follows it
+            pairs = pairs.filter(f"{100 + p}L * (same + least(na - pa, nb - pb) - 1) >= {need}")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         # suffix filter: no more in common than in each part of the hash space by itself
@@ -250,24 +265,23 @@ class NgramJoin:
         """
         first = self.profiles.filter("class is not null").groupBy("class").agg(F.min_by(F.struct("doc_id", "signature"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("r"))
         self.classes = materialize(first.select("class", "r.doc_id", "r.signature"), "ngram-classes")
-        shared = self.shared_postings()
-        labels, tested, star = None, None, 0
+        left, labels, tested, star = self.shared_postings().withColumn("root", F.col("class")), None, None, 0
         while True:
-            left = shared.withColumn("root", F.col("class")) if labels is None else shared.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-            left = materialize(left, "ngram-left")
-            by_root = left.groupBy("token", "root").agg(F.count("*").alias("c"))
-            by_token = by_root.groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("roots")).filter("roots > 1")
-            by_token = materialize(by_token, "ngram-open")
-            rows, open_pairs = by_token.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
+            by_token = left.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+            by_token = materialize(by_token.select("token", "n"), "ngram-open")
+            left = materialize(join_counted(left, by_token, "token", "class").drop("n"), "ngram-open-rows")
+            same = left.groupBy("token", "root").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
+            rows, square = by_token.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
             if not rows:
                 break
-            left = materialize(join_counted(left, by_token.select("token", "n"), "token", "class").drop("n"), "ngram-open-rows")
-            last = open_pairs <= PAIRS_PER_ROW * rows or star >= STAR_ROUNDS
+            last = star >= 1 and (square - same) / 2 <= PAIRS_PER_ROW * rows or star >= STAR_ROUNDS
             pairs = self.candidates(left, tested, None if last else star)
             tested = pairs if tested is None else tested.union(pairs)
             labels = components(self.verified(pairs), labels)
             if last:
                 break
+            known = _small(labels.filter("node <> root").select(F.col("node").alias("class"), F.col("root").alias("_root")))
+            left = left.join(known, "class", "left").withColumn("root", F.coalesce("_root", "class")).drop("_root")
             star += 1
         return labels if labels is not None else self.spark.createDataFrame([], "node long, root long")
 
