@@ -18,7 +18,7 @@ MARKS = ".,;:!?*#%&$|)"
 class PieceCache:
     """Results of encode(strings) -> list of bytes by piece, kept in a Python worker while they number at most `most`."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 1_200_000):
         self.encode, self.most, self.known, self.tails, self.chars = encode, most, {}, {}, 0
 
     def _learn(self, new: set[str]) -> None:
