@@ -243,7 +243,8 @@ class NgramJoin:
         """Those pairs whose sets are similar enough: each pair is compared once, on its whole sets."""
         nodes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
         first = materialize(self.classes.select("class", "doc_id").join(nodes, "class", "left_semi"), "ngram-needed")
-        texts = self.docs.join(_small(first.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
+        ids = _small(first.select(F.col("doc_id").alias("_needed")).distinct())
+        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_needed")), "left_semi").select("text")
         sets = texts.mapInArrow(_sets(self.gram), "class long, members binary").dropDuplicates(["class"])
         sets = materialize(sets, "ngram-sets")
         # the side with more partners for one class is the second, whose hot classes are dealt to several parts
