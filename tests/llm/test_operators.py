@@ -226,11 +226,11 @@ def test_pipeline(spark):
     docs = [(i, t) for i, t in docs if i in kept]
     first = {i for i, _, c in brute_components(docs) if i == c}
     docs = [(i, t) for i, t in docs if i in first]
-    left = {}
-    for i, t in docs:
+    left, seen = {}, {}
+    for i, t in sorted(docs):
         w, gone = words(t), set()
         for s in range(len(w) - 49):
-            if any(j < i and " " + " ".join(w[s : s + 50]) + " " in " " + " ".join(words(u)) + " " for j, u in docs):
+            if seen.setdefault(hash(tuple(w[s : s + 50])), i) < i:
                 gone.update(range(s, s + 50))
         left[i] = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t
     low = lambda t: [x for x in re.split(r"[\W_]+", t.lower()) if x]
