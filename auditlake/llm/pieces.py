@@ -53,7 +53,7 @@ class PieceCache:
         new = set()
         for s in split:
             new.update(s[1:])
-        self._learn(new - self.known.keys())
+        self._learn(new.difference(self.known))
         known = self.known.__getitem__
         firsts = list({s[0] for s in split})
         first = dict(zip(firsts, self.encode(firsts), strict=True))
