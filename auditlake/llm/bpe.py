@@ -23,7 +23,10 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.byte = [ranks[bytes([b])] for b in range(256)]
+        import numpy as np
+
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)])
+        self.of_bytes = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -41,26 +44,25 @@ class MergeReplay:
         return rank
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        token, after, before, rank, word, starts = [], [], [], [], [], []
-        pair, byte = self.pair, self.byte
-        for w, text in enumerate(words):
-            at = len(token)
-            starts.append(at)
-            ids = [byte[b] for b in text]
-            n = len(ids)
-            token += ids
-            after += range(at + 1, at + n + 1)
-            before += range(at - 1, at + n - 1)
-            word += [w] * n
-            if n:
-                after[-1] = before[at] = -1
-                rank += map(pair, ids, ids[1:])
-                rank.append(-1)
-        index: dict[int, list[int]] = {}
-        for p, r in enumerate(rank):
-            if r >= 0:
-                index.setdefault(r, []).append(p)
-        heap = list(index)
+        ids, at = self.encode_flat(words)
+        return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode_flat(self, words: list[bytes]):
+        """The ids of all words one after another, and the places where those of each word begin and end."""
+        import numpy as np
+
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        text, ends, full = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes), sizes > 0
+        n, last, of_word = len(text), ends[full] - 1, np.repeat(np.arange(len(words)), sizes)
+        ranks, follows, precedes = np.full(n, -1), np.arange(1, n + 1), np.arange(-1, n - 1)
+        ranks[:-1] = self.of_bytes[text[:-1], text[1:]]
+        ranks[last] = follows[last] = precedes[(ends - sizes)[full]] = -1
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.count_nonzero(ranks < 0) :]
+        keys, at = np.unique(ranks[order], return_index=True)
+        index: dict[int, list[int]] = {k: part.tolist() for k, part in zip(keys.tolist(), np.split(order, at[1:]), strict=False)}
+        token, rank, word, after, before = (x.tolist() for x in (self.byte[text], ranks, of_word, follows, precedes))
+        heap, known, pair = list(index), self.pairs.get, self.pair
         heapify(heap)
 
         def put(p: int, r: int) -> None:
@@ -74,7 +76,7 @@ class MergeReplay:
 
         while heap:
             r = heappop(heap)
-            done, wait = -1, []
+            done, wait, high = -1, [], r << 20
             for p in sorted(index.pop(r)):
                 if rank[p] != r:
                     continue
@@ -84,25 +86,21 @@ class MergeReplay:
                 done = word[p]
                 gone = after[p]
                 right, left = after[gone], before[p]
-                token[p], after[p], rank[gone] = r, right, -1
+                token[p], after[p], rank[gone], token[gone] = r, right, -1, -1
                 if right >= 0:
                     before[right] = p
-                    put(p, pair(r, token[right]))
+                    x = known(high | token[right])
+                    put(p, pair(r, token[right]) if x is None else x)
                 else:
                     rank[p] = -1
                 if left >= 0:
-                    put(left, pair(token[left], r))
+                    x = known(token[left] << 20 | r)
+                    put(left, pair(token[left], r) if x is None else x)
             for p in wait:
                 put(p, rank[p])
-        out = []
-        for p, text in zip(starts, words, strict=True):
-            ids = []
-            if text:
-                while p >= 0:
-                    ids.append(token[p])
-                    p = after[p]
-            out.append(ids)
-        return out
+        tokens = np.array(token, "<i4")
+        left = tokens >= 0
+        return tokens[left], np.concatenate([[0], np.cumsum(np.bincount(of_word[left], minlength=len(words)))])
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -116,8 +114,6 @@ _tools: dict[tuple[str, str], tuple] = {}
 def tools(vocabulary: str, pattern: str):
     """The merge replay, and the cache of encoded pieces, of one rank file; one per Python worker."""
     if (vocabulary, pattern) not in _tools:
-        from array import array
-
         import regex
 
         replay, find = MergeReplay(load_ranks(vocabulary)), regex.compile(pattern).findall
@@ -125,7 +121,9 @@ def tools(vocabulary: str, pattern: str):
         def encode(texts: list[str]) -> list[bytes]:
             matches = [find(t) for t in texts]
             words = list({w for ms in matches for w in ms})
-            ids = dict(zip(words, (array("i", x).tobytes() for x in replay.encode([w.encode() for w in words])), strict=True))
+            flat, at = replay.encode_flat([w.encode() for w in words])
+            raw, at = flat.tobytes(), (4 * at).tolist()
+            ids = {w: raw[a:b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)}
             return [b"".join([ids[m] for m in ms]) for ms in matches]
 
         _tools[vocabulary, pattern] = replay, PieceCache(encode)
