@@ -53,6 +53,17 @@ def test_bpe(docs, none):
     assert bpe.round_trip(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_words_strung_together_have_their_own_ids():
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    newline = t.encode("\n", add_special_tokens=False).ids
+    rng = np.random.default_rng(2)
+    texts = [" " + "".join(rng.choice(list("abé1!'.)日"), rng.integers(1, 9))) for _ in range(2000)] + ["", " ", "a\nb", " a\n", " x ", " <|endoftext|>", "!!"]
+    got = [np.frombuffer(x, "<i4").tolist() for x in token_orc.encode_each(t, newline, texts)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert token_orc.encode_each(t, newline, []) == []
+
+
 def test_bpe_random_texts():
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
     rng = np.random.default_rng(1)
