@@ -10,7 +10,9 @@ from auditlake.sources.tables import COUNTED, SUBMITTED, Domain
 
 WARNING, PASS, NOT_CHECKED = "WARNING", "PASS", "NOT_CHECKED"
 #: The weight of each check in the risk score.
-WEIGHTS = {"DOCUMENT_GRAND_TOTAL": 10, "EXACT_FILE_DUPLICATE": 25, "POTENTIAL_DUPLICATE": 20, "HISTORICAL_PRICE_ANOMALY": 15, "SUPPLIER_VERIFICATION": 10, "RELATED_FINANCIAL_DOCUMENT": 15, "PURCHASE_ORDER_LINES": 12, "GOODS_RECEIPT_MATCH": 12, "SPLIT_INVOICE": 25, "PROJECT_BUDGET_RELEVANCE": 10, "PROJECT_BUDGET_CAPACITY": 20}
+WEIGHTS = {"DOCUMENT_SUBTOTAL": 6, "DOCUMENT_TAX_TOTAL": 8, "DOCUMENT_GRAND_TOTAL": 10, "EXACT_FILE_DUPLICATE": 25, "POTENTIAL_DUPLICATE": 20, "HISTORICAL_PRICE_ANOMALY": 15, "REGIONAL_SUPPLIER_PRICE": 15, "SUPPLIER_VERIFICATION": 10, "RELATED_FINANCIAL_DOCUMENT": 15, "PURCHASE_ORDER_HEADER": 8, "PURCHASE_ORDER_LINES": 12, "GOODS_RECEIPT_MATCH": 12, "SPLIT_INVOICE": 25, "PROJECT_BUDGET_RELEVANCE": 10, "PROJECT_BUDGET_CAPACITY": 20}
+#: A document without a warning is incomplete if one of these could not be checked.
+FIRST = ("DOCUMENT_SUBTOTAL", "DOCUMENT_TAX_TOTAL", "DOCUMENT_GRAND_TOTAL", "EXACT_FILE_DUPLICATE", "POTENTIAL_DUPLICATE")
 
 
 def status(ready, warning):
@@ -27,6 +29,23 @@ def document_totals(d: Domain) -> DataFrame:
     return d.invoices().select("id", F.col("document_grand_total").alias("document_value"), F.col("grand_total").alias("calculated_value"), difference.alias("difference"), status(difference.isNotNull(), difference != 0).alias("status"))
 
 
+def printed_totals(d: Domain) -> DataFrame:
+    """(id, code, status): net amount, tax and total as printed against the calculated ones, three rows for each document."""
+    pairs = {"DOCUMENT_SUBTOTAL": ("document_subtotal", "net_total"), "DOCUMENT_TAX_TOTAL": ("document_tax_total", "tax_total"), "DOCUMENT_GRAND_TOTAL": ("document_grand_total", "grand_total")}
+    facts = F.array(*[F.struct(F.lit(code).alias("code"), (F.col(a) - F.col(b)).alias("difference")) for code, (a, b) in pairs.items()])
+    rows = d.invoices().select("id", F.explode(facts).alias("x"))
+    return rows.select("id", "x.code", status(F.col("x.difference").isNotNull(), F.col("x.difference") != 0).alias("status"))
+
+
+def attached_duplicates(d: Domain) -> DataFrame:
+    """How many other documents of the company have the same file attached; one without a file passes."""
+    files = d.attachments()
+    same = files.groupBy("company_id", "sha256").agg((F.count("*") - 1).alias("match_count")).filter("match_count > 0")
+    found = files.join(same, ["company_id", "sha256"]).select("id", "match_count")
+    rows = d.headers().select("id").join(found, "id", "left").withColumn("match_count", F.coalesce("match_count", F.lit(0).cast("long")))
+    return rows.select("id", "match_count", F.when(F.col("match_count") > 0, WARNING).otherwise(PASS).alias("status"))
+
+
 def file_duplicates(files: DataFrame, company: str, digest) -> DataFrame:
     """How many other files of a company have the same content.
 
@@ -162,16 +181,27 @@ def budget_usage(d: Domain) -> DataFrame:
 
 
 def all_checks(d: Domain) -> DataFrame:
-    """(id, code, status) of the checks that give one row for each document."""
+    """(id, code, status) of 15 checks; a document without a row of a check is not checked by it.
+
+    Lines without enough prices before them give no row, as do documents that a check is not for.
+    """
+    from auditlake.operators.intake import order_header_match
+    from auditlake.operators.prices import price_history, regional_prices
+
     def of(code, rows):
         return rows.select("id", F.lit(code).alias("code"), "status")
 
     worst = lambda rows: rows.groupBy("id").agg(F.when(F.bool_or(F.col("status") == WARNING), WARNING).otherwise(PASS).alias("status"))
-    out = of("DOCUMENT_GRAND_TOTAL", document_totals(d))
+    judged = lambda rows: worst(rows.filter("price is not null").withColumnRenamed("invoice_id", "id"))
+    out = printed_totals(d)
     for code, rows in (
+        ("EXACT_FILE_DUPLICATE", attached_duplicates(d)),
         ("POTENTIAL_DUPLICATE", potential_duplicates(d)),
+        ("HISTORICAL_PRICE_ANOMALY", judged(price_history(d))),
+        ("REGIONAL_SUPPLIER_PRICE", judged(regional_prices(d))),
         ("SUPPLIER_VERIFICATION", supplier_verification(d)),
         ("RELATED_FINANCIAL_DOCUMENT", related_documents(d)),
+        ("PURCHASE_ORDER_HEADER", order_header_match(d)),
         ("PURCHASE_ORDER_LINES", worst(order_lines(d))),
         ("GOODS_RECEIPT_MATCH", worst(receipts(d))),
         ("SPLIT_INVOICE", split_invoices(d)),
@@ -190,8 +220,9 @@ def risk_scores(d: Domain) -> DataFrame:
         F.least(F.sum(F.when(warned, F.element_at(weight, F.col("code"))).otherwise(0)), F.lit(100)).cast("long").alias("score"),
         F.count_if(warned).alias("warnings"),
         F.count_if(F.col("status") != NOT_CHECKED).alias("evaluated"),
+        F.bool_or((F.col("status") == NOT_CHECKED) & F.col("code").isin(*FIRST)).alias("open"),
     )
     level = F.when(F.col("score") >= 50, "HIGH").when(F.col("score") >= 20, "MEDIUM").otherwise("LOW")
     sure = F.when(F.col("evaluated") >= 10, "HIGH").when(F.col("evaluated") >= 6, "MEDIUM").otherwise("LOW")
-    summary = F.when(F.col("warnings") > 0, "NEEDS_REVIEW").otherwise("PASS")
+    summary = F.when(F.col("warnings") > 0, "NEEDS_REVIEW").when(F.col("open"), "INCOMPLETE").otherwise("PASS")
     return rows.select("id", "score", "warnings", "evaluated", level.alias("level"), sure.alias("confidence"), summary.alias("summary"))

@@ -72,10 +72,21 @@ class Domain:
         return self.items().groupBy(F.col("invoice_id").alias("id")).agg(*sums)
 
     def invoices(self) -> DataFrame:
-        """Headers with totals, null for documents without lines, and the total printed on the document."""
-        rows = self.headers().join(self.totals(), "id", "left")
-        printed = F.expr("case when order_id % 13 = 0 then null when order_id % 11 = 0 then grand_total + 1.00 else grand_total end").cast(MONEY)
-        return rows.withColumns({"document_grand_total": printed, "number_key": number_key(F.col("invoice_number"))})
+        """Headers with totals, null for documents without lines, and the totals printed on the document.
+
+        The printed net amount is wrong where the printed total is, the printed tax is right; where no total is
+        printed, neither are the other two.
+        """
+        rows = self.headers().join(self.totals(), "id", "left").withColumn("net_total", (F.col("subtotal") - F.col("discount_total")).cast(MONEY))
+        printed = lambda c, add="0.00": F.expr(f"case when order_id % 13 = 0 then null when order_id % 11 = 0 then {c} + {add} else {c} end").cast(MONEY)
+        return rows.withColumns({"document_subtotal": printed("net_total", "1.00"), "document_tax_total": printed("tax_total"), "document_grand_total": printed("grand_total", "1.00"), "number_key": number_key(F.col("invoice_number"))})
+
+    def attachments(self) -> DataFrame:
+        """(id, company_id, sha256): each document's file is a text of the documents table."""
+        texts = self.read("documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+        n = max(1, texts.count())
+        rows = self.headers().select("id", "company_id", (F.col("order_id") % n).alias("doc_id"))
+        return rows.join(texts.groupBy("doc_id").agg(F.min("sha256").alias("sha256")), "doc_id").select("id", "company_id", "sha256")
 
     def suppliers(self) -> DataFrame:
         """(supplier_id, company_id, region_code, verification)."""
