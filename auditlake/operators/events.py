@@ -37,22 +37,75 @@ def failure_limiter(events: DataFrame, seconds: int, most: int) -> DataFrame:
     return rows.select("event_id", "user_id", "n", (F.col("n") >= most).alias("blocked"))
 
 
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """rows sorted by order over all partitions, cut by sampled ranges, so that a key with many rows is in several.
+
+    `part` numbers the partitions. The columns must set equal rows apart only where their order matters.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+
+
+def _fold_parts(states: list[str]):
+    """(user_id, part, to, moves) of each user's rows in a partition: where each state leads, and in how many moves."""
+    table = [{i: states.index(STEPS[s, a]) for i, s in enumerate(states) if (s, a) in STEPS} for a in ACTIONS.values()]
+    effects = {}
+
+    def effect(to, action):
+        found = table[action]
+        return tuple(found.get(x, x) for x in to), tuple(i for i, x in enumerate(to) if x in found)
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["user_id", "part", "to", "moves"]
+        open_ = None
+        kind = None
+
+        def batch(rows):
+            user, part, to, moves = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(user, kind), pa.array(part, pa.int32()), pa.array(to, pa.list_(pa.int32())), pa.array(moves, pa.list_(pa.int64()))], names)
+
+        for b in batches:
+            done, kind = [], b.schema.field("user_id").type
+            for user, part, action in zip(*(b.column(c).to_pylist() for c in ("user_id", "part", "action")), strict=True):
+                if open_ is None or open_[0] != user:
+                    if open_:
+                        done.append(open_)
+                    open_ = [user, part, tuple(range(len(states))), [0] * len(states)]
+                key = open_[2], action
+                if key not in effects:
+                    effects[key] = effect(*key)
+                open_[2], moved = effects[key]
+                for i in moved:
+                    open_[3][i] += 1
+            if done:
+                yield batch(done)
+        if open_:
+            yield batch([open_])
+
+    return run
+
+
 def fold_workflow(events: DataFrame) -> DataFrame:
     """Each user's events as actions on one document: its last state, and how many actions had an effect.
 
-    A step depends on the state before it, so a key's actions are folded in order, in one expression.
+    A row of actions is a map from each state to the state it leads to and the moves on the way. Such maps can be put
+    together, so each partition folds its part of a user's log, and at most one map a partition meets for a user.
     """
-    action = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
-    steps = F.create_map(*[F.lit(x) for (s, a), t in STEPS.items() for x in (f"{s} {a}", t)])
-    rows = events.withColumn("action", F.try_element_at(action, F.col("event_type"))).filter("action is not null")
-    lists = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "action"))).alias("log"))
-    start = F.struct(F.lit("DRAFT").alias("state"), F.lit(0).cast("long").alias("moves"))
+    states = sorted({x for (s, _), t in STEPS.items() for x in (s, t)})
+    action = F.create_map(*[F.lit(x) for i, name in enumerate(ACTIONS) for x in (name, i)])
+    rows = events.select("user_id", "ts", "event_id", F.try_element_at(action, F.col("event_type")).alias("action")).filter("action is not null")
+    parts = in_order(rows, "user_id", "ts", "event_id", "action").select("user_id", "part", "action")
+    parts = parts.mapInArrow(_fold_parts(states), f"user_id {events.schema['user_id'].dataType.simpleString()}, part int, to array<int>, moves array<bigint>")
+    lists = parts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("part", "to", "moves"))).alias("log"))
+    start = F.struct(F.lit(states.index("DRAFT")).alias("state"), F.lit(0).cast("long").alias("moves"))
 
     def step(acc, e):
-        to = F.try_element_at(steps, F.concat_ws(" ", acc["state"], e["action"]))
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["moves"] + to.isNotNull().cast("long")).alias("moves"))
+        return F.struct(F.get(e["to"], acc["state"]).alias("state"), (acc["moves"] + F.get(e["moves"], acc["state"])).alias("moves"))
 
-    return lists.select("user_id", F.aggregate("log", start, step).alias("r")).select("user_id", "r.state", "r.moves")
+    names = F.array(*map(F.lit, states))
+    return lists.select("user_id", F.aggregate("log", start, step).alias("r")).select("user_id", F.get(names, F.col("r.state")).alias("state"), "r.moves")
 
 
 def tumbling(events: DataFrame, width: str) -> DataFrame:
