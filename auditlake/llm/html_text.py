@@ -19,30 +19,54 @@ MAIN_TAGS = {"article", "main"}
 #: Words of class, id and role that mark containers beside, or of, the article.
 BOILER_WORDS = set("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup privacy promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget widgets alert".split())
 MAIN_WORDS = set("article articlebody content entry main post story".split())
+#: A class that starts with one of these tells what a container has inside.
+HAS_WORDS = {"has", "have", "no", "with", "without"}
+#: How sure a mark is: a WEAK one is taken back by an article inside, a STRONG one only by the page's main element.
+WEAK, STRONG = 1, 2
+#: Boilerplate elements that some pages have around everything.
+WEAK_TAGS = {"form", "fieldset", "dialog"}
 SPACE = " "
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]{0,20000}"|'[^']{0,20000}')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>""", re.S)
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 
 FEATURES = ["words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "in_boiler", "in_main", "heading", "header"]
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether a container is beside the article, whether it is the article, whether it is a header."""
-    marks = set()
+def _kind(tag: str, attributes: str) -> tuple[int, bool, bool]:
+    """How sure a container is beside the article, whether it is the article, whether it is a header.
+
+    The whole page and its body are neither. A name of several words, as in "comments-open", marks a container less than
+    one of a single word, and not at all if the container has a name of the article too.
+    """
+    if tag in ("html", "body"):
+        return 0, False, False
+    beside, main, marks = 0, False, set()
     if "=" in attributes:
-        for m in _MARKS.finditer(attributes):
-            marks.update(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-    beside = tag in BOILER_TAGS or not marks.isdisjoint(BOILER_WORDS)
-    return beside, tag in MAIN_TAGS or not (beside or marks.isdisjoint(MAIN_WORDS)), tag == "header" or "header" in marks
+        for m in _ATTRIBUTE.finditer(attributes):
+            if m[1].lower() in ("class", "id", "role"):
+                for name in (m[2] or m[3] or m[4] or "").lower().split():
+                    words = _WORD.findall(name)
+                    marks.update(words)
+                    if not words or words[0] in HAS_WORDS:
+                        continue
+                    if not BOILER_WORDS.isdisjoint(words):
+                        beside = max(beside, STRONG if len(words) == 1 else WEAK)
+                    elif not MAIN_WORDS.isdisjoint(words):
+                        main = True
+    if tag == "main" or main and beside == WEAK:
+        beside = 0
+    if tag in BOILER_TAGS:
+        beside = max(beside, WEAK if tag in WEAK_TAGS else STRONG)
+    return beside, tag in MAIN_TAGS or main and not beside, tag == "header" or "header" in marks
 
 
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, own features) of each flat text block, in page order."""
     page = page or ""
     out: list[tuple[str, list[float]]] = []
-    open_, buffer, linked = [("", False, False, False)], [], 0
+    open_, buffer, linked = [("", 0, False, False)], [], 0
     in_link, heading, at = False, False, 0
 
     def text(piece: str) -> None:
@@ -61,7 +85,7 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
             if words:
                 _, beside, main, header = open_[-1]
                 n = len(words)
-                out.append((SPACE.join(words), [float(n), min(linked, n) / n, float(beside), float(main), float(heading), float(header)]))
+                out.append((SPACE.join(words), [float(n), min(linked, n) / n, float(beside > 0), float(main), float(heading), float(header)]))
             buffer.clear()
         linked = 0
 
@@ -97,8 +121,12 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
                 if not closing:
                     beside, main, header = _kind(tag, attributes)
                     _, up_beside, up_main, up_header = open_[-1]
+                    if tag == "article" and beside == WEAK and not (up_beside or up_main):
+                        beside = 0
+                    if tag == "main" or main and not beside and up_beside == WEAK:
+                        up_beside = 0
                     inner = up_main or main
-                    open_.append((tag, up_beside or beside, inner, (up_header or header) and not inner))
+                    open_.append((tag, max(up_beside, beside), inner, (up_header or header) and not inner))
                 else:
                     for i in range(len(open_) - 1, 0, -1):
                         if open_[i][0] == tag:
@@ -131,6 +159,7 @@ TRAINING = [
     """<body><form><p>-Write your name and your mail address here and press the button to get our letter every Friday morning.</form><header class="top"><p>-News from the hills since the year of the great flood</header><article><header><h1>+A walk in May</h1></header><p>+We set out early.<p>+By noon we had seen two deer, a fox and more birds than we could name, and had lost the path twice over.<aside>-Read also: the ten best boots for wet ground, tested by our own staff over a winter.</aside><p>+Then it snowed.</article><section id="comments"><p>-Where exactly is this path, I have lived here for thirty years and have never heard of it at all?</section><div role="alert">-Your session will end soon.</div>""",
     """<body><ul><li><a>-Front page</a><li><a>-Letters</a></ul><div class="notice">-This site keeps a record of what you read here so that it can show you more of the same; by going on you agree to this and to the terms that our partners have set out for such records.</div><div><p>+The mill at the lower weir has been turning again since Tuesday, after a pause of forty years, and the new miller says that she has orders for all the flour that it can grind until the autumn.<p>+She is glad.<p>+Her stones come from the same quarry as the old ones, which were broken up for a road when the mill was shut, and the wheel was made by two brothers in the next village.<p>+It took them a year.<p>+On Sundays the mill may be looked at, and there is bread from its own flour for those who come early enough, as not many did on the first of these Sundays, when it rained.</div><div id="discussion"><p>-My grandfather was the last miller there and he would have been so pleased to see the wheel go round again after all this time, I wish the new miller all the luck that there is in the world.<p>-Same here, and I hope that the bread is as good as they say, since there has been none worth eating in this town for as long as I can remember.</div><aside><p>-Readers who liked this story also liked the one about the baker who moved to the coast and the one about the flood that took away the lower bridge in the year of the long winter.</aside><footer><p>-The views in letters and comments are those of their writers and not of this paper, which takes no blame for them, nor for goods and services that are advertised on these pages by others.</footer>""",
     """<body><nav><p>-Here you find all that we have written about the town and its people in the last ten years, sorted by street and by the year in which it was first printed in our paper.</nav><table><tr><td>+Wheat was sown on less land than in any year since records began, since the price fell before the winter and the seed was dear, the growers' union told its members in a letter.</td></tr><tr><td>+Barley took its place.</td></tr><tr><td>+In the south, where the soil is light, growers turned to rye, which asks for little and is bought by the distillers whatever its quality may be.</td></tr></table><form><p>-Fill in the lines below and we shall send you our letter each Friday, with the prices of grain and of land in all the counties of the south, and nothing else, for as long as you wish.</form><div class="sidebar"><p>-Land for sale: four acres with a barn and a well, on the road to the coast, to be seen by those who write to the owner before the end of this month.</div><div><a>-Prices</a> <a>-Land</a> <a>-Weather</a> <a>-Machines</a> <a>-Seed</a> <a>-Tools</a> <a>-Letters</a> <a>-Old papers</a> <a>-Work</a> <a>-Help</a> <a>-For schools</a> <a>-For growers in the south</a> <a>-For growers in the north</a></div><div>-Terms</div>""",
+    """<html class="cookie-consent"><body class="single-post has-sidebar comments-open"><nav><a>-Home</a> <a>-Gardens</a></nav><div class="page-with-widgets"><div class="content with-sidebar"><article class="post tags-trees related-posts-on"><h1>+Planting a pear</h1><p>+A pear wants a warm wall and a deep soil, and for the first two summers it wants a bucket of water every week, whatever the weather has been.<p>+Then leave it alone.</article><section id="comments"><article class="comment-body"><p>-Ours stood for six years without a single pear and then bore so many in one autumn that two branches broke off.</article></section></div><div class="sidebar"><p>-Our shop has young trees of twelve kinds, with free delivery to all towns on the coast from the first of November on.</div></div><footer>-Imprint</footer>""",
 ]
 
 
