@@ -38,8 +38,8 @@ def phrase(c: Column) -> Column:
 
 
 def digit_words(c: Column) -> Column:
-    """Words of a phrase that have a digit, in order; descriptions compare only if these agree."""
-    return F.filter(F.split(c, " "), lambda w: w.rlike(r"\d"))
+    """Words of a phrase that are digits throughout, in order; descriptions compare only if these agree."""
+    return F.filter(F.split(c, " "), lambda w: w.rlike(r"^\d+$"))
 
 
 @F.pandas_udf(T.StringType())
