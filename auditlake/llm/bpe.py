@@ -9,7 +9,11 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.pieces import PieceCache, batches_of
+from auditlake.llm.common import materialize, shuffle_partitions
+from auditlake.llm.pieces import batches_of, encode_texts, packed, split_pieces, untouched, without_marks
+
+#: Words with at least one of so many occurrences are in the corpus's dictionary, so it has at most so many words.
+SHARE = 500_000
 
 
 class MergeReplay:
@@ -30,7 +34,6 @@ class MergeReplay:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.decimal = [str(i) for i in range(len(self.tokens))]
         self.pairs: dict[int, int] = {}
 
     def pair(self, a: int, b: int) -> int:
@@ -112,28 +115,34 @@ _tools: dict[tuple[str, str], tuple] = {}
 
 
 def tools(vocabulary: str, pattern: str):
-    """The merge replay, and the cache of encoded pieces, of one rank file; one per Python worker."""
+    """The merge replay of one rank file, and encode() of strings by it; one per Python worker."""
     if (vocabulary, pattern) not in _tools:
+        import numpy as np
         import regex
 
         replay, find = MergeReplay(load_ranks(vocabulary)), regex.compile(pattern).findall
 
-        def encode(texts: list[str]) -> list[bytes]:
+        def encode(texts: list[str]):
             matches = [find(t) for t in texts]
             words = list({w for ms in matches for w in ms})
-            flat, at = replay.encode_flat([w.encode() for w in words])
-            raw, at = flat.tobytes(), (4 * at).tolist()
-            ids = {w: raw[a:b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)}
-            return [b"".join([ids[m] for m in ms]) for ms in matches]
-
-        _tools[vocabulary, pattern] = replay, PieceCache(encode)
+            number = {w: i for i, w in enumerate(words)}
+            ids, at = replay.encode_flat([w.encode("utf-8", "surrogatepass") for w in words])
+            counts = np.fromiter(map(len, matches), np.int64, len(matches))
+            used = np.fromiter((number[m] for ms in matches for m in ms), np.int64, int(counts.sum()))
+            sizes = np.diff(at)[used]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            flat = ids[np.repeat(at[used] - ends[:-1], sizes) + np.arange(ends[-1])]
+            return flat, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+        _tools[vocabulary, pattern] = replay, encode
     return _tools[vocabulary, pattern]
 
 
 def encode(texts: list[str], vocabulary: str, pattern: str) -> list[list[int]]:
-    import numpy as np
+    import pyarrow as pa
 
-    return [np.frombuffer(b"".join(x), "<i4").tolist() for x in tools(vocabulary, pattern)[1].lists(texts)]
+    ids, at = encode_texts(pa.array(texts, pa.string()), tools(vocabulary, pattern)[1])
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def decode(ids: list[int], vocabulary: str, pattern: str) -> bytes:
@@ -141,45 +150,105 @@ def decode(ids: list[int], vocabulary: str, pattern: str) -> bytes:
     return b"".join([tokens[i] for i in ids])
 
 
+def _count_pieces(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for some in batches_of(batch, 0):
+            at, number, distinct = split_pieces(some.column(0))
+            later = np.ones(len(number), bool)
+            later[at[:-1]] = False
+            counts = np.bincount(number[later], minlength=len(distinct))
+            use = untouched(distinct) & (counts > 0)
+            words, _ = without_marks(distinct.filter(pa.array(use)))
+            coded = words.dictionary_encode()
+            sums = np.bincount(coded.indices.to_numpy(zero_copy_only=False), counts[use], len(coded.dictionary)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(sums)], ["word", "n"])
+
+
+def common_words(texts: DataFrame, vocabulary: str, pattern: str, share: int = SHARE) -> DataFrame:
+    """(word, ids): the merges of all words with at least 1 of `share` of the corpus's occurrences, at most `share` rows.
+
+    Words are counted over the whole corpus by a shuffle, and each is replayed once, in shards of words. ids are those
+    of the word with a space before it, as little-endian 32-bit integers.
+    """
+    counts = materialize(texts.mapInArrow(_count_pieces, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                ids = packed(*tools(vocabulary, pattern)[1]([" " + w for w in b.column(0).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([b.column(0), ids.cast(pa.binary())], ["word", "ids"])
+
+    often = counts.filter(F.col("n") >= max(2, -(-total // share))).select("word").repartition(shuffle_partitions(texts.sparkSession))
+    return materialize(often.mapInArrow(run, "word string, ids binary"), "bpe-dictionary")
+
+
+def _encoded(texts: DataFrame, vocabulary: str, pattern: str):
+    """A function of a text array to its ids, for tasks: common words come from the corpus's dictionary, which is broadcast."""
+    table = common_words(texts, vocabulary, pattern).toArrow().combine_chunks()  # at most SHARE rows, whatever the input
+    held = texts.sparkSession.sparkContext.broadcast((table.column("word").combine_chunks() if table.num_rows else None, table.column("ids").combine_chunks() if table.num_rows else None))
+
+    def run(column):
+        import pyarrow as pa
+
+        words, ids = held.value
+        known = None if words is None else (words, ids.cast(pa.large_binary()))
+        return encode_texts(column, tools(vocabulary, pattern)[1], known)
+
+    return run
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each whole text, one row per input row.
 
-    Each task replays the merges on the distinct words of about two million characters of its rows at a time, and
-    keeps what it has learned for the next ones in a bounded cache, so no row is shuffled and memory does not grow
-    with the input. Null and empty texts have no ids; null and repeated ids are kept; an empty table gives no
-    rows; further columns are not read.
+    Words with a notable share of the corpus are replayed once for all; a task replays the merges of the other words of
+    some 24 MB of its rows at a time. A text longer than that is encoded by itself, whole. Null and empty texts have no
+    ids; null and repeated ids are kept; an empty table gives no rows; further columns are not read.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    encoded = _encoded(rows.select("text"), vocabulary, pattern)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for some in batches_of(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1):
-                ids = encode([t or "" for _, t in some], vocabulary, pattern)
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for some in batches_of(batch, 1):
+                ids, at = encoded(some.column(1))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(at.astype("int32")), pa.array(ids))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode each text, decode its ids, and digest both."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode each text, decode its ids, and digest both.
+
+    Edge cases are those of encode_documents(); a text without ids has the digests of nothing.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    encoded = _encoded(rows.select("text"), vocabulary, pattern)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        replay, cache = tools(vocabulary, pattern)
-        decimal, token = replay.decimal.__getitem__, replay.tokens.__getitem__
+        replay = tools(vocabulary, pattern)[0]
+        decimals, tokens = (pa.array(x, pa.large_binary()) for x in ([b"%d " % i for i in range(len(replay.tokens))], replay.tokens))
+
+        def digests(values, ids, at, cut):
+            taken = values.take(pa.array(ids))
+            bounds, data = np.frombuffer(taken.buffers()[1], np.int64), memoryview(taken.buffers()[2] or b"")
+            ends = bounds[at].tolist()
+            return [hashlib.sha256(data[a : max(a, b - cut)]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
         for batch in batches:
-            for some in batches_of(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1):
-                out = []
-                for (doc, _), parts in zip(some, cache.lists([t or "" for _, t in some]), strict=True):
-                    ids = np.frombuffer(b"".join(parts), "<i4").tolist()
-                    text = b"".join(map(token, ids))
-                    out.append((doc, len(ids), hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
-                doc, n, a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names)
+            for some in batches_of(batch, 1):
+                ids, at = encoded(some.column(1))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(at)), pa.array(digests(decimals, ids, at, 1)), pa.array(digests(tokens, ids, at, 0))], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,4 +1,4 @@
-"""Byte-level tokenizers split the space-separated pieces of a text independently; this encodes each piece once.
+"""Byte-level tokenizers split the space-separated pieces of a text independently; this encodes each piece of a batch once.
 
 A piece is what stands between two single spaces. With the space before it, it is split alone as it is in its text,
 unless blanks touch blanks there; a text where that happens is encoded whole. Marks at the end of a piece that come
@@ -9,69 +9,119 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-#: Texts of at least so many characters in all are encoded together.
-BATCH_CHARS = 2 << 20
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text that are encoded together; one long text may have more.
+BATCH_BYTES = 24 << 20
 #: Marks that never belong to a word before them.
 MARKS = ".,;:!?*#%&$|)"
+#: encode(strings) -> the ids of all of them one after another, and how many each has.
+Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def batches_of(batch: pa.RecordBatch, text_at: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def split_pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where each text's pieces begin (and the end), the number of each piece, and the distinct pieces."""
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    coded = lists.flatten().dictionary_encode()
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return at, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def packed(ids: np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
+    """Ids as little-endian bytes, one value for each of sizes."""
+    at = 4 * np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(ids, "<i4"))])
+
+
+def _bounds(a: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+
+
+def untouched(pieces: pa.Array) -> np.ndarray:
+    """Whether each piece is split by itself after a space: it has no blank at its ends."""
+    return pc.and_(pc.equal(pc.utf8_trim_whitespace(pieces), pieces), pc.not_equal(pieces, "")).to_numpy(zero_copy_only=False)
+
+
+def without_marks(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each piece as a word and the marks after it, which are empty where the word does not end with a letter."""
+    word = pc.utf8_rtrim(pieces, characters=MARKS)
+    cut = pc.and_(pc.not_equal(word, pieces), pc.utf8_is_alpha(pc.utf8_slice_codeunits(word, start=-1)))
+    mark = pc.struct_field(pc.extract_regex(pieces, f"(?P<m>[{MARKS}]*)$"), "m")
+    return pc.if_else(cut, word, pieces), pc.if_else(cut, mark, "")
+
+
+def encode_pieces(pieces: pa.Array, encode: Encode, known: tuple[pa.Array, pa.Array] | None) -> pa.LargeBinaryArray:
+    """Raw ids of each piece with a space before it; known has words and their raw ids."""
+    word, mark = (x.dictionary_encode() for x in without_marks(pieces))
+    words, marks = word.dictionary, mark.dictionary
+    parts, place = [], np.zeros(len(words), np.int64)
+    new = np.ones(len(words), bool)
+    if known is not None:
+        found = pc.index_in(words, value_set=known[0])
+        new = pc.is_null(found).to_numpy(zero_copy_only=False)
+        place = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts.append(known[1])
+    at = sum(map(len, parts))
+    place[new] = at + np.arange(new.sum())
+    parts.append(packed(*encode([" " + w for w in words.filter(pa.array(new)).to_pylist()])))
+    at = sum(map(len, parts))
+    parts.append(packed(*encode(marks.to_pylist())))
+    both = np.empty(2 * len(pieces), np.int64)
+    both[::2] = place[word.indices.to_numpy(zero_copy_only=False)]
+    both[1::2] = at + mark.indices.to_numpy(zero_copy_only=False)
+    made = pa.concat_arrays(parts).take(pa.array(both))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(np.ascontiguousarray(_bounds(made)[::2])), made.buffers()[2]])
 
 
-class PieceCache:
-    """Results of encode(strings) -> list of bytes by piece, kept in a Python worker while they number at most `most`."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 1_200_000):
-        self.encode, self.most, self.known, self.tails, self.chars = encode, most, {}, {}, 0
-
-    def _learn(self, new: set[str]) -> None:
-        known, tails = self.known, self.tails
-        parts, words, marks = [], set(), set()
-        for p in new:
-            if not p or p[0].isspace() or p[-1].isspace():
-                known[p] = None
-                continue
-            word = p.rstrip(MARKS)
-            if word != p and word and word[-1].isalpha():
-                mark = p[len(word) :]
-                parts.append((p, word, mark))
-                if mark not in tails:
-                    marks.add(mark)
-                if word not in known:
-                    words.add(word)
-            else:
-                words.add(p)
-        words, marks = list(words), list(marks)
-        known.update(zip(words, self.encode([" " + w for w in words]), strict=True))
-        tails.update(zip(marks, self.encode(marks), strict=True))
-        for p, word, mark in parts:
-            known[p] = known[word] + tails[mark]
-        self.chars += sum(map(len, new)) + sum(map(len, words))
-
-    def lists(self, texts: list[str]) -> list[list[bytes]]:
-        """For each text the results of its pieces, in order."""
-        if len(self.known) > self.most or len(self.tails) > self.most or self.chars > 20 * self.most:
-            self.known, self.tails, self.chars = {}, {}, 0
-        split = [t.split(" ") for t in texts]
-        new = set()
-        for s in split:
-            new.update(s[1:])
-        self._learn(new.difference(self.known))
-        known = self.known.__getitem__
-        firsts = list({s[0] for s in split})
-        first = dict(zip(firsts, self.encode(firsts), strict=True))
-        out = []
-        for t, s in zip(texts, split, strict=True):
-            got = [first[s[0]], *map(known, s[1:])]
-            out.append(self.encode([t]) if None in got or s[0][-1:].isspace() else got)
-        return out
-
-
-def batches_of(rows: Iterator[tuple], text_at: int, most: int = BATCH_CHARS) -> Iterator[list[tuple]]:
-    """Runs of rows with about `most` characters of text; one long text may have more."""
-    some, chars = [], 0
-    for row in rows:
-        some.append(row)
-        chars += len(row[text_at] or "")
-        if chars >= most:
-            yield some
-            some, chars = [], 0
-    if some:
-        yield some
+def encode_texts(texts: pa.Array, encode: Encode, known: tuple[pa.Array, pa.Array] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, and where those of each begin (and the end). Null texts are empty."""
+    if not len(texts):
+        return np.zeros(0, "<i4"), np.zeros(1, np.int64)
+    at, number, distinct = split_pieces(texts)
+    first = at[:-1]
+    later = np.ones(len(number), bool)
+    later[first] = False
+    used = np.zeros(len(distinct), bool)
+    used[number[later]] = True
+    good = untouched(distinct)
+    wanted = used & good
+    place = np.zeros(len(distinct), np.int64)
+    place[wanted] = np.arange(wanted.sum())
+    raw = [encode_pieces(distinct.filter(pa.array(wanted)), encode, known)]
+    entry = place[number]
+    # the first piece has no space before it
+    heads = np.unique(number[first])
+    place[heads] = len(raw[0]) + np.arange(len(heads))
+    entry[first] = place[number[first]]
+    names = distinct.take(pa.array(heads)).to_pylist()
+    raw.append(packed(*encode(names)))
+    open_end = np.zeros(len(distinct), bool)
+    open_end[heads] = [h[-1:].isspace() for h in names]
+    # texts where blanks touch blanks are encoded whole
+    broken = later & ~good[number]
+    broken[first] = open_end[number[first]]
+    whole = np.flatnonzero(np.logical_or.reduceat(broken, first))
+    if len(whole):
+        keep = np.ones(len(number), bool)
+        for i in whole.tolist():
+            keep[at[i] + 1 : at[i + 1]] = False
+        entry[at[whole]] = sum(map(len, raw)) + np.arange(len(whole))
+        raw.append(packed(*encode(texts.take(pa.array(whole)).to_pylist())))
+        at, entry = np.concatenate([[0], np.cumsum(keep)])[at], entry[keep]
+    made = pa.concat_arrays(raw).take(pa.array(entry))
+    bounds = _bounds(made)
+    data = made.buffers()[2]
+    ids = np.frombuffer(data, "<i4")[: bounds[-1] // 4] if data is not None and len(data) else np.zeros(0, "<i4")
+    return ids, bounds[at] // 4

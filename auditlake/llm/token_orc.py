@@ -9,74 +9,73 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import input_partitions, materialize, scratch_path
-from auditlake.llm.pieces import PieceCache, batches_of
+from auditlake.llm.pieces import Encode, batches_of, encode_texts, packed
 
 END_ID = 2
 #: ORC writer settings: 16 MB stripes, an index entry for each 10,000 rows, Bloom filters on doc_id.
-ORC = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "10000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.encoding.strategy": "SPEED", "compression": "zlib"}
+ORC = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "10000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.encoding.strategy": "SPEED", "compression": "snappy"}
 
-_encoders: dict[str, PieceCache] = {}
-#: Words that go to the tokenizer as one text.
-TOGETHER = 512
+_encoders: dict[str, Encode] = {}
+#: The bytes that byte-level vocabularies write as themselves; the others follow from code point 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
-def encode_each(tokenizer, newline: list[int], texts: list[str]) -> list[bytes]:
-    """The ids of each text, as little-endian bytes.
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary has for each byte."""
+    others = [b for b in range(256) if b not in set(_PRINTED)]
+    return {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    Single words after a space are strung together with line feeds between them. Where every line feed stays a token
-    of its own, no merge has crossed one, so the ids between them are those of each word alone; else, and for all
-    other texts, each is encoded by itself.
-    """
-    from array import array
 
-    import numpy as np
+def encoder(vocabulary: str) -> Encode:
+    """The tokenizers library on one vocabulary file, one per Python worker.
 
-    out: list[bytes] = [b""] * len(texts)
-    words = [i for i, x in enumerate(texts) if x[:1] == " " and len(x) > 1 and "\n" not in x and not x[-1].isspace()] if len(newline) == 1 else []
-    alone = sorted(set(range(len(texts))).difference(words))
-    runs = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-    for run, e in zip(runs, tokenizer.encode_batch_fast(["\n".join([texts[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, "<i4")
-        ends = (4 * np.flatnonzero(ids == newline[0])).tolist()
-        if len(ends) != len(run) - 1:
-            alone += run
-            continue
-        raw = ids.tobytes()
-        for i, a, b in zip(run, [0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True):
-            out[i] = raw[a:b]
-    for i, e in zip(alone, tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
-        out[i] = array("i", e.ids).tobytes()
-    return out
-
-
-def encoder(vocabulary: str) -> PieceCache:
-    """The tokenizers library on one vocabulary file, one per Python worker."""
+    Strings of a space and letters only are one word to the pre-tokenizer and hold no added token, so they go to the
+    tokenizer's model alone; all others go through the whole tokenizer, as it is loaded.
+    """
     if vocabulary not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from itertools import chain
+
+        import numpy as np
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(vocabulary)
-        t.encode_special_tokens = True
-        newline = t.encode("\n", add_special_tokens=False).ids
-        _encoders[vocabulary] = PieceCache(lambda xs: encode_each(t, newline, xs))
+        full = Tokenizer.from_file(vocabulary)
+        model, letters = Tokenizer(full.model), byte_letters()
+
+        def encode(texts: list[str]):
+            words = [i for i, t in enumerate(texts) if t[:1] == " " and t[1:].isalpha()]
+            others = sorted(set(range(len(texts))).difference(words))
+            flat, sizes = [], np.zeros(len(texts), np.int64)
+            for some, tokenizer, form in ((words, model, lambda t: t.encode().decode("latin-1").translate(letters)), (others, full, str)):
+                for lo in range(0, len(some), 4096):
+                    part = some[lo : lo + 4096]
+                    lists = [e.ids for e in tokenizer.encode_batch_fast([form(texts[i]) for i in part], add_special_tokens=False)]
+                    sizes[part] = list(map(len, lists))
+                    flat.append(np.fromiter(chain.from_iterable(lists), "<i4"))
+            done = packed(np.concatenate(flat) if flat else np.zeros(0, "<i4"), sizes[words + others])
+            order = np.argsort(np.array(words + others, np.int64))
+            raw = done.take(pa.array(order)).buffers()[2]
+            return np.frombuffer(raw, "<i4")[: int(sizes.sum())] if len(texts) and raw else np.zeros(0, "<i4"), sizes
+
+        _encoders[vocabulary] = encode
     return _encoders[vocabulary]
 
 
 def encode_batches(vocabulary: str, end_id: int):
-    import numpy as np
-    import pyarrow as pa
-
-    end = np.array([end_id], "<i4").tobytes()
-
     def run(batches):
-        cache = encoder(vocabulary)
+        import numpy as np
+        import pyarrow as pa
+
         for batch in batches:
-            rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-            for some in batches_of(rows, 1):
-                raw = [b"".join(x) + end for x in cache.lists([t or "" for _, t in some])]
-                sizes = np.cumsum([0, *[len(x) // 4 for x in raw]]).astype("int32")
-                values = pa.array(np.frombuffer(b"".join(raw), "<i4"))
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), values)], ["doc_id", "ids"])
+            for some in batches_of(batch, 1):
+                ids, at = encode_texts(some.column(1), encoder(vocabulary))
+                ends = at + np.arange(len(at))
+                values = np.full(ends[-1], end_id, "<i4")
+                own = np.ones(len(values), bool)
+                own[ends[1:] - 1] = False
+                values[own] = ids
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(values))], ["doc_id", "ids"])
 
     return run
 

@@ -8,12 +8,13 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from auditlake.llm import bpe, chat, common, decontaminate, html_text, ngram_join, quality, queries, sharding, substrings, token_orc, warc
+from auditlake.llm import bpe, chat, common, decontaminate, html_text, ngram_join, pieces, quality, queries, sharding, substrings, token_orc, warc
 
 SF = "/root/testdata/sf0.001"
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -53,15 +54,14 @@ def test_bpe(docs, none):
     assert bpe.round_trip(none, RANKS, P.PATTERN).count() == 0
 
 
-def test_words_strung_together_have_their_own_ids():
+def test_texts_have_the_ids_of_the_library_as_it_is_loaded():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    newline = t.encode("\n", add_special_tokens=False).ids
     rng = np.random.default_rng(2)
-    texts = [" " + "".join(rng.choice(list("abé1!'.)日"), rng.integers(1, 9))) for _ in range(2000)] + ["", " ", "a\nb", " a\n", " x ", " <|endoftext|>", "!!"]
-    got = [np.frombuffer(x, "<i4").tolist() for x in token_orc.encode_each(t, newline, texts)]
-    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
-    assert token_orc.encode_each(t, newline, []) == []
+    texts = ["".join(rng.choice(list("abé1!'.)日 \n\t "), rng.integers(0, 40))) for _ in range(2000)]
+    texts += ["", " ", "  ", "a\nb", " a\n", " x ", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>,", "!!", "a\x1cb c\x85 d", "ﬁ ǅ. ª, x\u0301, ٣٤."]
+    ids, at = pieces.encode_texts(pa.array([*texts, None]), token_orc.encoder(JSON))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [t.encode(x, add_special_tokens=False).ids for x in [*texts, ""]]
+    assert pieces.encode_texts(pa.array([], pa.string()), token_orc.encoder(JSON))[1].tolist() == [0]
 
 
 def test_bpe_random_texts():
@@ -73,7 +73,6 @@ def test_bpe_random_texts():
 
 def test_token_files(docs, none):
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     start, want = 0, []
     for i, text in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
