@@ -14,6 +14,10 @@ from auditlake.llm.pieces import batches_of, encode_texts, packed, split_pieces,
 
 #: Words with at least one of so many occurrences are in the corpus's dictionary, so it has at most so many words.
 SHARE = 500_000
+#: Bytes of words whose merges are replayed together.
+REPLAY_BYTES = 1 << 19
+#: Bytes of text that a task works on together.
+BATCH_BYTES = 12 << 20
 
 
 class MergeReplay:
@@ -41,7 +45,7 @@ class MergeReplay:
         key = a << 20 | b
         rank = self.pairs.get(key)
         if rank is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             rank = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return rank
@@ -50,6 +54,20 @@ class MergeReplay:
         ids, at = self.encode_flat(words)
         return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
 
+    def encode_some(self, words: list[bytes], most: int = REPLAY_BYTES):
+        """encode_flat() of runs of words with about `most` bytes, so that its lists stay small; one long word may have more."""
+        import numpy as np
+
+        part = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+        ids, sizes = [np.zeros(0, "<i4")], [np.zeros(1, np.int64)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                some, at = self.encode_flat(words[a:b])
+                ids.append(some)
+                sizes.append(np.diff(at))
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
     def encode_flat(self, words: list[bytes]):
         """The ids of all words one after another, and the places where those of each word begin and end."""
         import numpy as np
@@ -126,7 +144,7 @@ def tools(vocabulary: str, pattern: str):
             matches = [find(t) for t in texts]
             words = list({w for ms in matches for w in ms})
             number = {w: i for i, w in enumerate(words)}
-            ids, at = replay.encode_flat([w.encode("utf-8", "surrogatepass") for w in words])
+            ids, at = replay.encode_some([w.encode("utf-8", "surrogatepass") for w in words])
             counts = np.fromiter(map(len, matches), np.int64, len(matches))
             used = np.fromiter((number[m] for ms in matches for m in ms), np.int64, int(counts.sum()))
             sizes = np.diff(at)[used]
@@ -155,7 +173,7 @@ def _count_pieces(batches):
     import pyarrow as pa
 
     for batch in batches:
-        for some in batches_of(batch, 0):
+        for some in batches_of(batch, 0, BATCH_BYTES):
             at, number, distinct = split_pieces(some.column(0))
             later = np.ones(len(number), bool)
             later[at[:-1]] = False
@@ -217,7 +235,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
         import pyarrow as pa
 
         for batch in batches:
-            for some in batches_of(batch, 1):
+            for some in batches_of(batch, 1, BATCH_BYTES):
                 ids, at = encoded(some.column(1))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(at.astype("int32")), pa.array(ids))], ["doc_id", "ids"])
 
@@ -247,7 +265,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
             return [hashlib.sha256(data[a : max(a, b - cut)]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
         for batch in batches:
-            for some in batches_of(batch, 1):
+            for some in batches_of(batch, 1, BATCH_BYTES):
                 ids, at = encoded(some.column(1))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(at)), pa.array(digests(decimals, ids, at, 1)), pa.array(digests(tokens, ids, at, 0))], names)
 
