@@ -1,23 +1,35 @@
-"""Similarity join on word n-grams: rare-first prefixes with length, positional and suffix filters, then components."""
+"""Similarity join on word n-grams: rare-first prefixes with length, positional and suffix filters, then components.
+
+The rare-first order is exact. Documents are taken in runs of some million shingles; each run's shingles go, packed, to
+buckets of the hash space, where the documents that have a shingle are counted; counts of shingles of two documents or
+more go back to the runs. Shingles of one document alone come first in every order and can match nothing, so they are
+only counted: no posting of one is ever written, and a document with so many of them that its prefix is full can link
+with nothing and drops out.
+"""
 
 from __future__ import annotations
 
-import zlib
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import join_counted, materialize
+from auditlake.llm.common import free_name, join_counted, materialize, shuffle_partitions
 
 GRAM, PERCENT = 4, 85
-#: Tables of at most so many small rows are broadcast; larger ones are joined by a shuffle.
+#: Tables of numbers of at most so many rows (some 10 MB) are broadcast; larger ones are joined by a shuffle.
 SMALL_ROWS = 500_000
 SIGNATURE = 16
-#: Rows of one block of the frequency sketch, and the least and most bits of its cells (64 MB at most).
-BLOCK_BITS, LEAST_BITS, MOST_BITS = 14, 16, 24
+#: Shingles, and documents, that a task works on together.
+RUN, RUN_DOCS = 2_000_000, 60_000
+#: Bytes of text for each bucket of the hash space, and the least and most bits of buckets.
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 32 << 20, 5, 18
+#: Shingles with at least HOT_ROWS documents and 1 of HOT_SHARE of all shingles, at most HOT_SHARE in number, come last
+#: in every order and are not counted, so that no bucket holds them.
+HOT_ROWS, HOT_SHARE = 1_000_000, 400_000
 #: After a star round, postings of different components are compared with each other if they make at most so many pairs a
 #: posting; else another star round goes before, STAR_ROUNDS in all at most.
-PAIRS_PER_ROW, STAR_ROUNDS = 2000, 3
+PAIRS_PER_ROW, STAR_ROUNDS = 20, 6
 
 
 def shingle_set(text: str | None, gram: int):
@@ -30,88 +42,200 @@ def shingle_set(text: str | None, gram: int):
     return np.unique(gram_hashes(word_hashes(words), gram))
 
 
-def class_of(hashes) -> int:
-    """One number for a set of hashes; texts with one set are one class."""
+def class_of(hashes) -> bytes:
+    """128 bits for a set of hashes; texts with one set are one class."""
     import numpy as np
 
     from auditlake.llm.shingles import U, mix
 
-    a, b = mix(hashes + U(0x9E3779B97F4A7C15)).sum(), mix(hashes ^ U(0xD6E8FEB86659FD93)).sum()
-    return int(mix(np.array([a ^ (b << U(1)) ^ U(len(hashes))])).view(np.int64)[0])
+    sums = np.array([mix(hashes + U(0x9E3779B97F4A7C15)).sum(), mix(hashes ^ U(0xD6E8FEB86659FD93)).sum()])
+    return mix(sums + U(len(hashes))).tobytes()
 
 
-def needed(n: int, percent: int) -> int:
+def needed(n, percent: int):
     """Least intersection of a set of n with any set that it links with."""
     return -(-percent * n // 100)
 
 
-def _profile(gram: int, bits: int):
-    """Rows: each document's class, set size and signature; and at a task's end the blocks of its frequency sketch."""
+#: Rows of the first pass: documents; and of runs, at bucket -1 the classes, sizes and distinct keys of their documents,
+#: at bucket -2 keys that many of them have and their counts, at buckets from 0 on their keys' documents and low 32 bits.
+PROFILE = "doc_id long, class binary, n int, signature binary, run long, bucket int, a binary, b binary, c binary"
+
 
+def _profile(gram: int, bits: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["doc_id", "class", "n", "signature", "block", "counts"]
-        cells = np.zeros(1 << bits, np.uint32)
-        for b in batches:
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = shingle_set(text, gram)
-                if len(h):
-                    np.add.at(cells, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
-                    parts = np.minimum(np.bincount((h & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 65535).astype("<u2")
-                    out.append((doc, class_of(h), len(h), parts.tobytes()))
-                else:
-                    out.append((doc, None, 0, None))
-            doc, cls, n, sig = zip(*out, strict=True) if out else ((), (), (), ())
-            none = pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), *none], names)
-        step = 1 << BLOCK_BITS
-        for i in range(0, len(cells), step):
-            if cells[i : i + step].any():
-                one = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*one, pa.array([i >> BLOCK_BITS], pa.int32()), pa.array([zlib.compress(cells[i : i + step].tobytes(), 1)], pa.binary())], names)
+        from auditlake.llm.shingles import U
+
+        names = ["doc_id", "class", "n", "signature", "run", "bucket", "a", "b", "c"]
+        given, sets, classes, held = set(), [], [], 0
+
+        def packed():
+            nonlocal sets, classes, held
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            key = np.concatenate(sets) >> U(32 - bits)
+            doc = np.repeat(np.arange(len(sets), dtype=np.uint16), size)
+            one = np.ones(len(key), bool)
+            one[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            key, doc = key[one], doc[one]
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[order]
+            number = uuid.uuid4().int >> 65
+            out = [(-1, b"".join(classes), size.astype("<u4").tobytes(), np.bincount(doc, minlength=len(sets)).astype("<u4").tobytes())]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            times = np.diff(np.concatenate([start, [len(key)]]))
+            often = times >= max(8, RUN // HOT_SHARE)
+            if often.any():
+                out.append((-2, key[start[often]].tobytes(), times[often].astype("<u4").tobytes(), None))
+            cuts = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << U(32)).tolist()
+            low = (key & U(0xFFFFFFFF)).astype("<u4")
+            for bucket, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if j > i:
+                    out.append((bucket, doc[i:j].astype("<u2").tobytes(), np.diff(low[i:j], prepend=np.uint32(0)).tobytes(), None))
+            sets, classes, held = [], [], 0
+            for lo in range(0, len(out), 64):
+                bucket, a, b, c = zip(*out[lo : lo + 64], strict=True)
+                none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.binary(), pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([number] * len(a), pa.int64()), pa.array(bucket, pa.int32()), *[pa.array(x, pa.binary()) for x in (a, b, c)]], names)
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                out, part = [], batch.slice(lo, 500)
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    h = shingle_set(text, gram)
+                    if not len(h):
+                        out.append((doc, None, 0, None))
+                        continue
+                    own = class_of(h)
+                    parts = np.minimum(np.bincount((h & U(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 65535).astype("<u2")
+                    out.append((doc, own, len(h), parts.tobytes()))
+                    if own not in given:
+                        if len(given) > 1_000_000:
+                            given.clear()
+                        given.add(own)  # copies within a task are counted once
+                        sets.append(h)
+                        classes.append(own)
+                        held += len(h)
+                        if held >= RUN or len(sets) >= RUN_DOCS:
+                            yield from packed()
+                if out:
+                    doc, cls, n, sig = zip(*out, strict=True)
+                    none = [pa.nulls(len(out), t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(cls, pa.binary()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), *none], names)
+        if sets:
+            yield from packed()
 
     return run
 
 
-def _sum_blocks(rows):
+RUN_ROWS = "run long, bucket int, a binary, b binary, c binary"
+
+
+def _run_batch(rows):
+    import pyarrow as pa
+
+    run, bucket, a, b, c = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(bucket, pa.int32()), *[pa.array(x, pa.binary()) for x in (a, b, c)]], ["run", "bucket", "a", "b", "c"])
+
+
+def _often(batches):
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    for batch in batches:
+        for keys, times in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(times, "<u4").astype(np.int64))], ["key", "n"])
+
+
+def _without(hot):
+    """Rows of buckets without the keys of `hot`; those go to rows of their own, as if counted, with the highest count."""
+
+    def run(batches):
+        import numpy as np
 
-    total = np.zeros(1 << BLOCK_BITS, np.int64)
-    for counts in rows["counts"]:
-        total += np.frombuffer(zlib.decompress(counts), np.uint32)
-    packed = zlib.compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes(), 1)
-    return pd.DataFrame({"block": [rows["block"].iloc[0]], "counts": [packed]})
+        for batch in batches:
+            for row in batch.to_pylist():
+                doc, low = np.frombuffer(row["a"], "<u2"), np.cumsum(np.frombuffer(row["b"], "<u4"), dtype=np.uint32)
+                is_hot = np.isin(low.astype(np.uint64) | (np.uint64(row["bucket"]) << np.uint64(32)), hot.value)
+                out = []
+                if is_hot.any():
+                    out.append((row["run"], row["bucket"], doc[is_hot].tobytes(), low[is_hot].astype("<u4").tobytes(), b"\xff" * int(is_hot.sum())))
+                if not is_hot.all():
+                    out.append((row["run"], row["bucket"], doc[~is_hot].tobytes(), np.diff(low[~is_hot], prepend=np.uint32(0)).astype("<u4").tobytes(), None))
+                yield _run_batch(out)
 
+    return run
+
+
+def _groups(batches, column: str):
+    """Runs of rows with one value of a column, by which they are sorted."""
+    key, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row[column] != key:
+                yield key, rows
+                rows = []
+            key = row[column]
+            rows.append(row)
+    if rows:
+        yield key, rows
 
-def _postings(gram: int, percent: int, cells):
-    """(token, class, n, at) of each document's prefix: its rarest shingles by the sketch, ties by hash."""
+
+def _count_keys(batches):
+    """For each run and bucket: documents, low bits and counts (at most 254) of the keys that two documents or more have."""
+    import numpy as np
+
+    for bucket, rows in _groups(batches, "bucket"):
+        low = np.concatenate([np.cumsum(np.frombuffer(r["b"], "<u4"), dtype=np.uint32) for r in rows])
+        doc = np.concatenate([np.frombuffer(r["a"], "<u2") for r in rows])
+        ends = np.cumsum([len(r["a"]) // 2 for r in rows])
+        runs = [r["run"] for r in rows]
+        rows.clear()
+        order = np.argsort(low)
+        ordered = low[order]
+        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        times = np.diff(np.concatenate([start, [len(ordered)]]))
+        count = np.empty(len(low), np.uint8)
+        count[order] = np.repeat(np.minimum(times, 254).astype(np.uint8), times)
+        shared = count >= 2
+        for run, i, j in zip(runs, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            own = shared[i:j]
+            if own.any():
+                yield _run_batch([(run, bucket, doc[i:j][own].tobytes(), low[i:j][own].tobytes(), count[i:j][own].tobytes())])
+
+
+def _prefixes(percent: int):
+    """(class, n, alone, tokens): the shared part of each document's prefix, rarest first; alone shingles come before it."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        count, given = cells.value, set()
-        shift = np.uint64(64 - int(len(count)).bit_length() + 1)
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                token, cls, size, at = [], [], [], []
-                for text in b.column(0).slice(lo, 500).to_pylist():
-                    h = shingle_set(text, gram)
-                    n = len(h)
-                    own = class_of(h) if n else None
-                    if n and own not in given:
-                        given.add(own)  # copies within a task give their postings once
-                        rare = np.lexsort((h, count[(h >> shift).astype(np.int64)]))[: n - needed(n, percent) + 1]
-                        token.append(h[rare].view(np.int64))
-                        cls.append(np.full(len(rare), own, np.int64))
-                        size.append(np.full(len(rare), n, np.int32))
-                        at.append(np.arange(len(rare), dtype=np.int32))
-                if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, cls, size, at)], ["token", "class", "n", "at"])
+        for _, rows in _groups(batches, "run"):
+            first, rest = rows[0], rows[1:]
+            classes = np.frombuffer(first["a"], "V16")
+            n, kept = (np.frombuffer(first[c], "<u4").astype(np.int64) for c in "bc")
+            if not rest:
+                continue
+            doc = np.concatenate([np.frombuffer(r["a"], "<u2") for r in rest]).astype(np.int64)
+            key = np.concatenate([np.frombuffer(r["b"], "<u4").astype(np.uint64) | (np.uint64(r["bucket"]) << np.uint64(32)) for r in rest])
+            count = np.concatenate([np.frombuffer(r["c"], np.uint8) for r in rest])
+            shared = np.bincount(doc, minlength=len(n))
+            alone = kept - shared
+            room = np.maximum(n - needed(n, percent) + 1 - alone, 0)
+            some = room[doc] > 0
+            doc, key, count = doc[some], key[some], count[some]
+            order = np.lexsort((key, count, doc))
+            doc, key = doc[order], key[order]
+            begins = np.searchsorted(doc, np.arange(len(n)))
+            use = np.arange(len(doc)) - begins[doc] < room[doc]
+            doc, key = doc[use], key[use]
+            own = np.flatnonzero(np.bincount(doc, minlength=len(n)))
+            at = np.concatenate([np.searchsorted(doc, own), [len(doc)]]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([classes[i].tobytes() for i in own], pa.binary()), pa.array(n[own].astype(np.int32)), pa.array(alone[own].astype(np.int32)), tokens], ["class", "n", "alone", "tokens"])
 
     return run
 
@@ -121,8 +245,9 @@ def _sets(gram: int):
         import pyarrow as pa
 
         for b in batches:
-            sets = [shingle_set(t, gram) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["class", "members"])
+            for lo in range(0, b.num_rows, 500):
+                sets = [shingle_set(t, gram) for t in b.column(0).slice(lo, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["class", "members"])
 
     return run
 
@@ -147,22 +272,24 @@ def components(edges: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """(node, root) for the nodes of edges (a, b) and of `first`, an earlier result: root is the smallest node reached.
 
     Labels go along edges and are then looked up themselves, so they travel fast; every round's labels are written.
+    Rows of nodes with many edges, and of roots with many nodes, are dealt to several parts.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
     if first is not None:
         old = first.filter("node <> root")
         both = both.union(old.select("node", "root")).union(old.select("root", "node"))
     both = materialize(both.distinct(), "edges")
-    labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "labels")
+    labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root"), F.count("*").alias("n")), "labels")
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        moved = labels.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        labels = materialize(moved.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")), "labels")
+        near = join_counted(both, labels.select(F.col("node").alias("other"), "root", "n"), "other", "node").groupBy("node").agg(F.min("root").alias("near"))
+        moved = materialize(labels.join(near, "node").select("node", "n", F.col("root").alias("old"), F.least("root", "near").alias("root")), "labels-moved")
+        sizes = moved.groupBy("root").agg(F.count("*").alias("size"))
+        jump = sizes.join(moved.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").withColumnRenamed("size", "n")
+        labels = materialize(join_counted(moved.withColumnRenamed("n", "degree"), materialize(jump, "labels-roots"), "root", "node", "left").select("node", "old", F.col("degree").alias("n"), F.least("root", "further").alias("root")), "labels")
         changed = labels.filter("old <> root").limit(1).count()
-        labels = labels.select("node", "root")
+        labels = labels.select("node", "root", "n")
         if not changed:
-            return labels
+            return labels.select("node", "root")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -177,34 +304,51 @@ class NgramJoin:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def profile(self) -> None:
-        n = self.docs.select("doc_id").count()
-        bits = min(max(n.bit_length() + 2, LEAST_BITS), MOST_BITS)
-        schema = "doc_id long, class long, n int, signature binary, block int, counts binary"
-        rows = materialize(self.docs.mapInArrow(_profile(self.gram, bits), schema), "ngram-profile")
-        self.profiles = rows.filter("block is null").select("doc_id", "class", "n", "signature")
-        blocks = rows.filter("block is not null").select("block", "counts").groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary")
+        size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(max(int(size // BUCKET_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
+        rows = materialize(self.docs.mapInArrow(_profile(self.gram, bits), PROFILE), "ngram-profile")
+        self.profiles = rows.filter("run is null").select("doc_id", "class", "n", "signature")
+        self.runs = rows.filter("run is not null").select("run", "bucket", "a", "b", "c")
+        #: 6 bytes of a packed shingle for about as many bytes of text
+        self.parts = max(shuffle_partitions(self.spark), int(size // BUCKET_BYTES) + 1)
+
+    def hot_keys(self):
+        """Keys of so many documents that no bucket should hold them, at most HOT_SHARE in number."""
         import numpy as np
 
-        cells = np.zeros(1 << bits, np.uint32)  # at most 64 MB, whatever the input
-        for r in blocks.collect():
-            cells[r.block << BLOCK_BITS : (r.block + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
-        self.cells = self.spark.sparkContext.broadcast(cells)
+        often = self.runs.filter("bucket = -2").mapInArrow(_often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        total = self.profiles.agg(F.sum("n")).first()[0] or 0
+        keys = [r.key for r in often.filter(F.col("n") >= max(HOT_ROWS, total // HOT_SHARE + 1)).select("key").collect()]
+        return np.array(keys, np.int64).view(np.uint64)
+
+    def classes_and_prefixes(self) -> None:
+        """Writes (num, class, n, alone, tokens) of the classes whose prefix has a shared shingle; num numbers them."""
+        rows, hot = self.runs.filter("bucket >= 0"), self.hot_keys()
+        back = self.runs.filter("bucket = -1")
+        if len(hot):
+            rows = materialize(rows.mapInArrow(_without(self.spark.sparkContext.broadcast(hot)), RUN_ROWS), "ngram-hot")
+            back, rows = back.union(rows.filter("c is not null")), rows.filter("c is null")
+        counted = rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_keys, RUN_ROWS)
+        runs = back.union(counted).repartition(self.parts, "run").sortWithinPartitions("run", "bucket")
+        found = runs.mapInArrow(_prefixes(self.percent), "class binary, n int, alone int, tokens array<long>").dropDuplicates(["class"])
+        self.prefixes = materialize(found.withColumn("num", F.monotonically_increasing_id()), "ngram-prefixes")
 
     def shared_postings(self) -> DataFrame:
-        """Prefix postings of tokens that two classes or more have, once for each class."""
-        run = _postings(self.gram, self.percent, self.cells)
-        rows = materialize(self.docs.select("text").mapInArrow(run, "token long, class long, n int, at int"), "ngram-postings")
-        tokens = rows.groupBy("token").agg(F.count("*").alias("n_rows"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
-        tokens = materialize(tokens.select("token", F.col("n_rows").alias("n")), "ngram-tokens")
-        got = join_counted(rows.withColumnRenamed("n", "size"), tokens, "token", "class")
-        return materialize(got.groupBy("token", "class").agg(F.first("size").alias("size"), F.first("at").alias("at")), "ngram-shared")
+        """(token, class, size, alone, at) of tokens that two classes or more have; class is the number of a class."""
+        each = self.prefixes.select(F.col("num").alias("class"), F.col("n").alias("size"), "alone", F.posexplode("tokens").alias("i", "token"))
+        rows = each.select("token", "class", "size", "alone", (F.col("alone") + F.col("i")).alias("at"))
+        tokens = materialize(rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "ngram-tokens")
+        return materialize(join_counted(rows, tokens, "token", "class").drop("n"), "ngram-shared")
 
     def _may_link(self) -> str:
-        """Length and positional filters of two postings of a token, and the shorter index prefix of the smaller set."""
+        """Length and positional filters of two postings of a token, and the shorter index prefix of the smaller set.
+
+        What two sets share is at most what both have of shared shingles before the token, and what follows in both.
+        """
         p = self.percent
         index = lambda size: f"{size} - cast(ceil({2 * p} * cast({size} as double) / {100 + p} - 1e-9) as int) + 1"
         return f"""root <> root2 and 100L * least(size, size2) >= {p}L * greatest(size, size2)
-            and {100 + p}L * (least(at, at2) + least(size - at, size2 - at2)) >= {p}L * (size + size2)
+            and {100 + p}L * (least(at - alone, at2 - alone2) + least(size - at, size2 - at2)) >= {p}L * (size + size2)
             and if(size < size2 or (size = size2 and class < class2), at < {index("size")}, at2 < {index("size2")})"""
 
     def candidates(self, left: DataFrame, tested: DataFrame | None, star: int | None) -> DataFrame:
@@ -213,7 +357,7 @@ class NgramJoin:
         The first pivot is the class with the fewest rarer shingles before the token: of a text and its edited copies
         that is mostly the text itself, since edits make rare shingles.
         """
-        columns = ("class", "size", "at", "root")
+        columns = ("class", "size", "alone", "at", "root")
         if star is not None:
             order = F.xxhash64("class", F.lit(star)) if star else F.col("at").cast("long")
             pivot = left.groupBy("token").agg(F.min(F.struct(order.alias("o"), *columns)).alias("p"), F.count("*").alias("n"))
@@ -239,22 +383,32 @@ class NgramJoin:
         large = (F.col("na") >= 65535) | (F.col("nb") >= 65535)
         return materialize(pairs.filter(large | (F.lit(100 + p) * common.cast("long") >= F.expr(need))).select("a", "b"), "ngram-pairs")
 
+    def needed_sets(self, postings: DataFrame) -> DataFrame:
+        """(class, members): the whole sets of the classes with a shared posting, from one text of each."""
+        numbers = materialize(postings.select("class").distinct(), "ngram-open-classes")
+        known = self.prefixes.select(F.col("num").alias("class"), F.col("class").alias("bits")).join(numbers, "class", "left_semi")
+        least = self.profiles.filter("class is not null").groupBy(F.col("class").alias("bits")).agg(F.min("doc_id").alias("doc_id"))
+        known = materialize(known.join(least, "bits"), "ngram-needed")
+        ids = _small(known.select(F.col("doc_id").alias("needed")).distinct())
+        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("needed")), "left_semi").select("text")
+        sets = texts.mapInArrow(_sets(self.gram), "class binary, members binary").withColumnRenamed("class", "bits").dropDuplicates(["bits"])
+        return materialize(known.select("class", "bits").join(sets, "bits").select("class", "members"), "ngram-sets")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs whose sets are similar enough: each pair is compared once, on its whole sets."""
-        nodes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        first = materialize(self.classes.select("class", "doc_id").join(nodes, "class", "left_semi"), "ngram-needed")
-        ids = _small(first.select(F.col("doc_id").alias("_needed")).distinct())
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_needed")), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.gram), "class long, members binary").dropDuplicates(["class"])
-        sets = materialize(sets, "ngram-sets")
-        # the side with more partners for one class is the second, whose hot classes are dealt to several parts
-        turned = pairs.groupBy("a").agg(F.count("*").alias("da")).join(pairs, "a")
-        degrees = pairs.groupBy("b").agg(F.count("*").alias("db"))
-        turned = turned.join(degrees, "b").select(F.when(F.col("da") > F.col("db"), F.col("b")).otherwise(F.col("a")).alias("x"), F.when(F.col("da") > F.col("db"), F.col("a")).otherwise(F.col("b")).alias("y"))
+        """Those pairs whose sets are similar enough: each pair is compared once, on its whole sets.
+
+        The side with more partners for one class is the second, whose hot classes are dealt to several parts.
+        """
+        da = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")), "ngram-degrees")
+        turned = join_counted(pairs, da, "a", "b").withColumnRenamed("n", "da")
+        db = materialize(pairs.groupBy("b").agg(F.count("*").alias("n")), "ngram-degrees")
+        turned = join_counted(turned, db, "b", "a").select(F.when(F.col("da") > F.col("n"), F.col("b")).otherwise(F.col("a")).alias("x"), F.when(F.col("da") > F.col("n"), F.col("a")).otherwise(F.col("b")).alias("y"))
         turned = materialize(turned, "ngram-turned")
-        one = turned.join(sets.select(F.col("class").alias("x"), F.col("members").alias("set_a")), "x")
-        hubs = materialize(turned.groupBy("y").agg(F.count("*").alias("n")), "ngram-hubs").join(sets.select(F.col("class").alias("y"), F.col("members").alias("set_b")), "y")
-        both = join_counted(one, materialize(hubs, "ngram-hub-sets"), "y", "x").select(F.col("x").alias("a"), F.col("y").alias("b"), "set_a", "set_b")
+        dx = materialize(turned.groupBy("x").agg(F.count("*").alias("n")), "ngram-degrees")
+        dy = materialize(turned.groupBy("y").agg(F.count("*").alias("n")), "ngram-degrees")
+        own = lambda degrees, key, name: degrees.join(self.sets.select(F.col("class").alias(key), F.col("members").alias(name)), key)
+        one = join_counted(turned, own(dx, "x", "set_a"), "x", "y").drop("n")
+        both = join_counted(one, own(dy, "y", "set_b"), "y", "x").select(F.col("x").alias("a"), F.col("y").alias("b"), "set_a", "set_b")
         return materialize(both.mapInArrow(_verify(self.percent), "a long, b long"), "ngram-links")
 
     def roots(self) -> DataFrame:
@@ -264,9 +418,12 @@ class NgramJoin:
         near copies is joined by about as many comparisons as it has members. Pairs within one component need no
         comparison any more; all other pairs that share a prefix token are compared in the end, so none is lost.
         """
-        first = self.profiles.filter("class is not null").groupBy("class").agg(F.min_by(F.struct("doc_id", "signature"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("r"))
-        self.classes = materialize(first.select("class", "r.doc_id", "r.signature"), "ngram-classes")
-        left, labels, tested, star = self.shared_postings().withColumn("root", F.col("class")), None, None, 0
+        self.classes_and_prefixes()
+        left = self.shared_postings()
+        signatures = self.profiles.filter("class is not null").groupBy(F.col("class").alias("bits")).agg(F.first("signature").alias("signature"))
+        self.classes = materialize(self.prefixes.select(F.col("num").alias("class"), F.col("class").alias("bits")).join(signatures, "bits").select("class", "signature"), "ngram-classes")
+        self.sets = self.needed_sets(left)
+        left, labels, tested, star = left.withColumn("root", F.col("class")), None, None, 0
         while True:
             by_token = left.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
             by_token = materialize(by_token.select("token", "n"), "ngram-open")
@@ -292,16 +449,16 @@ class NgramJoin:
         component_id is the smallest doc_id reached by links, the document's own included. A text without words, or a
         null one, has no shingles and links with nothing; a text of fewer words than n is one shingle. Rows that repeat
         an id are texts of their own; null ids link like others but are no component's id. An empty table gives no rows;
-        further columns are not read. Sets are of 64-bit hashes of their n-grams.
+        further columns are not read. Sets are of 64-bit hashes of their n-grams, and told apart by 128 bits.
         """
         self.profile()
-        labels = self.roots()
-        rows = self.profiles.join(labels.withColumnRenamed("node", "class"), "class", "left")
-        rows = materialize(rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "class").alias("root")), "ngram-rooted")
-        smallest = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-        smallest = materialize(smallest.filter("n > 1"), "ngram-components")
-        rows = join_counted(rows, smallest, "root", "doc_id", "left")
-        return rows.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+        linked = self.roots().join(self.prefixes.select(F.col("num").alias("node"), "class"), "node").select("class", "root")
+        classes = self.profiles.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("own"), F.count("*").alias("n"))
+        classes = materialize(classes.join(linked, "class", "left").filter("n > 1 or root is not null"), "ngram-linked")
+        roots = materialize(classes.filter("root is not null").groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("n")), "ngram-components")
+        least = join_counted(classes.withColumnRenamed("n", "docs"), roots, "root", "class", "left").select("class", F.coalesce("least", "own").alias("least"), F.col("docs").alias("n"))
+        rows = join_counted(self.profiles.withColumnRenamed("n", "size"), materialize(least, "ngram-least"), "class", "doc_id", "left")
+        return rows.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def link(docs: DataFrame, **options) -> DataFrame:
@@ -309,7 +466,12 @@ def link(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with the document of the smallest id of each component; rows with a null id stay, repeated rows of an id stay."""
-    drop = link(docs, id_col=id_col, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
+    """docs with the document of the smallest id of each component, and all of docs' columns.
+
+    Rows with a null id stay, and so do repeated rows of an id that stays. Null, empty and wordless texts link with
+    nothing and stay; long texts are read whole; an empty table gives no rows. Any other column names may be there.
+    """
+    copy = free_name(docs, "copy")
+    drop = link(docs, id_col=id_col, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias(copy)).distinct()
     drop = _small(materialize(drop, "ngram-copies"))
-    return docs.join(drop, docs[id_col] == F.col("_copy"), "left_anti")
+    return docs.join(drop, docs[id_col] == F.col(copy), "left_anti")
