@@ -7,19 +7,19 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import join_counted, materialize, py_words
+from auditlake.llm.common import free_name, join_counted, materialize, py_words, shuffle_partitions
 
 WINDOW = 50
 #: Words of the phrases that stand for a passage; every window has the smallest hash of its phrases in common with its copies.
 PHRASE = 8
 #: Side tables of at most so many numbers (16 MB) are broadcast; larger ones are joined by a shuffle of the texts.
 SMALL_NUMBERS = 2_000_000
-#: Phrases of one automaton.
-SHARD = 20_000
+#: Phrases of one automaton, about; and the least documents of one that are dealt to several parts.
+SHARD, LEAST_PART = 10_000, 200
 
 
 def _phrases(window: int, phrase: int):
-    """Each text's words counted, its word sequence's hash, and the phrases that its windows select."""
+    """Each text's words counted, 128 bits of its word sequence, and the phrases that its windows select."""
 
     def run(batches):
         import numpy as np
@@ -39,51 +39,65 @@ def _phrases(window: int, phrase: int):
                         whole.append(None)
                         found.append(np.zeros(0, np.int64))
                         continue
-                    whole.append(int((window_hashes(w, n, BASES[0])[0] ^ (window_hashes(w, n, BASES[1])[0] << np.uint64(1))).view(np.int64)))
+                    whole.append(window_hashes(w, n, BASES[0]).tobytes() + window_hashes(w, n, BASES[1]).tobytes())
                     grams = gram_hashes(w, phrase)
                     found.append(np.unique(grams[minimizers(grams, window - phrase + 1)]).view(np.int64))
                 at = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found) if found else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("fp"), pa.array(count, pa.int64()), pa.array(whole, pa.int64()), lists], ["doc_id", "fp", "n_words", "whole", "phrases"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("fp"), pa.array(count, pa.int64()), pa.array(whole, pa.binary()), lists], ["doc_id", "fp", "n_words", "whole", "phrases"])
 
     return run
 
 
-def locate(texts: list[list[str]], wanted: list, phrase: int) -> list:
-    """Word positions in each text where any phrase wanted by any of the texts stands.
+def _phrase_texts(phrase: int):
+    """(shard, phrase): the words of the phrases that a document is the first to have."""
 
-    texts are lists of words, wanted are arrays of phrase hashes that each text is known to hold. The phrases are
-    compiled to automata of at most SHARD phrases each, and every text streams through all of them.
-    """
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from auditlake.llm.shingles import gram_hashes, word_hashes
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part, shard, out = b.slice(lo, 200), [], []
+                for own, text, firsts in zip(part.column("own").to_pylist(), part.column("text").to_pylist(), part.column("firsts").to_pylist(), strict=True):
+                    if firsts:
+                        words = py_words(text)
+                        found = np.flatnonzero(np.isin(gram_hashes(word_hashes(words), phrase).view(np.int64), np.array(firsts, np.int64)))
+                        texts = {b" ".join(words[p : p + phrase]) for p in found.tolist()}
+                        shard += [own] * len(texts)
+                        out += texts
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(out, pa.binary())], ["shard", "phrase"])
+
+    return run
+
+
+def automaton_of(phrases: list[str]):
+    """An Aho-Corasick automaton of phrases of whole words, with the length of each."""
     import ahocorasick
+
+    made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in phrases:
+        made.add_word(f" {p} ")
+    made.make_automaton()
+    return made
+
+
+def locate(automaton, words: list[str]):
+    """Numbers of the words where a phrase of the automaton begins."""
     import numpy as np
 
-    from auditlake.llm.shingles import gram_hashes, word_hashes
-
-    known: dict[str, None] = {}
-    for words, hashes in zip(texts, wanted, strict=True):
-        grams = gram_hashes(word_hashes([w.encode("utf-8", "surrogatepass") for w in words]), phrase).view(np.int64)
-        for p in np.flatnonzero(np.isin(grams, hashes)):
-            known[" " + " ".join(words[p : p + phrase]) + " "] = None
-    out = [[] for _ in texts]
-    lines = [" " + " ".join(words) + " " for words in texts]
-    phrases = list(known)
-    for lo in range(0, len(phrases), SHARD):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in phrases[lo : lo + SHARD]:
-            automaton.add_word(p)
-        automaton.make_automaton()
-        for line, hits in zip(lines, out, strict=True):
-            hits += [end - size + 1 for end, size in automaton.iter(line)]
-    found = []
-    for words, hits in zip(texts, out, strict=True):
-        starts = np.cumsum([0, *[len(w) + 1 for w in words]])  # of the blank before each word
-        found.append(np.searchsorted(starts, np.unique(np.array(hits, np.int64))))
-    return found
+    hits = [end - size + 1 for end, size in automaton.iter(f" {' '.join(words)} ")]
+    starts = np.cumsum([0, *[len(w) + 1 for w in words]])  # of the blank before each word
+    return np.searchsorted(starts, np.unique(np.array(hits, np.int64)))
 
 
 def _windows(window: int, phrase: int):
-    """The windows around located phrases: their two hashes and starts."""
+    """Documents streamed through their shard's automaton: the windows around its hits, by their two hashes and starts.
+
+    Rows come sorted by shard and part, the shard's phrases before its documents.
+    """
 
     def run(batches):
         import numpy as np
@@ -91,27 +105,39 @@ def _windows(window: int, phrase: int):
 
         from auditlake.llm.shingles import BASES, window_hashes, word_hashes
 
+        shard, phrases, automaton = None, [], None
         for b in batches:
             for lo in range(0, b.num_rows, 400):
                 part = b.slice(lo, 400)
-                words = [py_words(t) for t in part.column("text").to_pylist()]
-                wanted = [np.array(x or [], np.int64) for x in part.column("phrases").to_pylist()]
-                places = locate([[w.decode("utf-8", "surrogatepass") for w in ws] for ws in words], wanted, phrase)
-                starts, one, two = [], [], []
-                for ws, at in zip(words, places, strict=True):
-                    n = len(ws) - window + 1
+                doc, fp, starts, one, two = [], [], [], [], []
+                for key, p, i, f, text in zip(zip(part.column("shard").to_pylist(), part.column("part").to_pylist(), strict=True), *[part.column(c).to_pylist() for c in ("phrase", "doc_id", "fp", "text")], strict=True):
+                    if key != shard:
+                        shard, phrases, automaton = key, [], None
+                    if p is not None:
+                        phrases.append(p.decode("utf-8", "surrogatepass"))
+                        continue
+                    if not phrases:
+                        continue
+                    automaton = automaton or automaton_of(phrases)
+                    words = py_words(text)
+                    at = locate(automaton, [w.decode("utf-8", "surrogatepass") for w in words])
+                    n = len(words) - window + 1
                     edges = np.zeros(max(n, 0) + 1, np.int64)
                     if n > 0 and len(at):
                         np.add.at(edges, np.clip(at + phrase - window, 0, n), 1)
                         np.add.at(edges, np.clip(at + 1, 0, n), -1)
                     s = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-                    h = word_hashes(ws)
-                    starts.append(s.astype(np.int32))
-                    one.append(window_hashes(h, window, BASES[0])[s].view(np.int64))
-                    two.append(window_hashes(h, window, BASES[1])[s].view(np.int64))
-                at = pa.array(np.cumsum([0, *map(len, starts)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (starts, one, two)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("fp"), *lists], ["doc_id", "fp", "starts", "h1", "h2"])
+                    if len(s):
+                        h = word_hashes(words)
+                        doc.append(i)
+                        fp.append(f)
+                        starts.append(s.astype(np.int32))
+                        one.append(window_hashes(h, window, BASES[0])[s].view(np.int64))
+                        two.append(window_hashes(h, window, BASES[1])[s].view(np.int64))
+                if doc:
+                    at = pa.array(np.cumsum([0, *map(len, starts)]).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (starts, one, two)]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(fp, pa.int64()), *lists], ["doc_id", "fp", "starts", "h1", "h2"])
 
     return run
 
@@ -147,7 +173,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and rows with a null id, have no row.
     """
     rows = _keyed(docs, id_col, text_col).filter("doc_id is not null")
-    profile = materialize(rows.mapInArrow(_phrases(window, phrase), "doc_id long, fp long, n_words long, whole long, phrases array<long>"), "phrases")
+    profile = materialize(rows.mapInArrow(_phrases(window, phrase), "doc_id long, fp long, n_words long, whole binary, phrases array<long>"), "phrases")
     # whole copies: all windows of a text start in its first copy too
     copies = profile.filter("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = materialize(copies, "whole-copies")
@@ -155,32 +181,47 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tagged = materialize(tagged.select("doc_id", "fp", "n_words", "phrases", (F.col("first") < F.col("doc_id")).alias("copy")), "phrases-tagged")
     copied = tagged.filter("copy").select("doc_id", "fp", F.array(F.lit(0)).alias("begins"), F.array(F.col("n_words").cast("int")).alias("ends"))
     first = tagged.filter("copy is null or not copy")
-    # phrases of two documents or more
+    # phrases of two documents or more; those that one document is the first to have are in one automaton
     each = first.select("doc_id", "fp", F.explode("phrases").alias("phrase"))
-    recurring = each.groupBy("phrase").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("phrase", "n")
+    recurring = each.groupBy("phrase").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("phrase", "n", "lo")
     recurring = materialize(recurring, "recurring-phrases")
-    wanted = join_counted(each, recurring, "phrase", "doc_id").groupBy("doc_id", "fp").agg(F.collect_list("phrase").alias("phrases"))
+    shards = recurring.count() // SHARD + 1
+    wanted = join_counted(each, recurring, "phrase", "doc_id").withColumn("shard", F.pmod(F.xxhash64("lo"), F.lit(shards)).cast("int"))
+    wanted = wanted.groupBy("doc_id", "fp").agg(F.collect_set("shard").alias("shards"), F.collect_list(F.when(F.col("lo") == F.col("doc_id"), F.col("phrase"))).alias("firsts"))
     wanted = materialize(wanted, "wanted-phrases")
-    numbers = wanted.agg(F.sum(F.size("phrases") + 2)).first()[0] or 0
+    numbers = wanted.agg(F.sum(F.size("firsts") + F.size("shards") + 2)).first()[0] or 0
     texts = rows.join(F.broadcast(wanted) if numbers <= SMALL_NUMBERS else wanted, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])
-    lists = materialize(texts.select("doc_id", "fp", "text", "phrases").mapInArrow(_windows(window, phrase), "doc_id long, fp long, starts array<int>, h1 array<long>, h2 array<long>"), "windows")
+    texts = materialize(texts.select("doc_id", "fp", "text", "shards", "firsts"), "phrase-documents")
+    # the automata, and the documents that stream through them
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("own")
+    phrases = texts.filter(F.size("firsts") > 0).select(own, "text", "firsts").mapInArrow(_phrase_texts(phrase), "shard int, phrase binary").distinct()
+    streams = texts.select("doc_id", "fp", "text", F.explode("shards").alias("shard"))
+    met = streams.groupBy("shard").agg(F.count("*").alias("n"))
+    total = met.agg(F.sum("n")).first()[0] or 0
+    parts = materialize(met.select("shard", F.ceil(F.col("n") / max(LEAST_PART, total // 100)).cast("int").alias("parts")), "phrase-parts")
+    streams = streams.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id", "fp"), F.col("parts")).cast("int").alias("part"), F.lit(None).cast("binary").alias("phrase"), "doc_id", "fp", "text")
+    phrases = phrases.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "phrase", *[F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("fp", "long"), ("text", "string"))])
+    n = max(shuffle_partitions(docs.sparkSession), shards)
+    dealt = phrases.unionByName(streams).repartition(n, "shard", "part").sortWithinPartitions("shard", "part", F.col("phrase").isNull())
+    lists = materialize(dealt.mapInArrow(_windows(window, phrase), "doc_id long, fp long, starts array<int>, h1 array<long>, h2 array<long>"), "windows")
     # confirm: whole windows, by 128 bits of hash
     each = lists.select("doc_id", "fp", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("doc_id", "fp", "w.*")
     first = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("first < hi")
     first = materialize(first.select("h1", F.col("h2").alias("check"), "first", "n"), "recurring-windows")
-    found = join_counted(each, first, "h1", "starts").filter("h2 = check and first < doc_id")
+    found = join_counted(each, first, "h1", "doc_id").filter("h2 = check and first < doc_id")
     starts = found.groupBy("doc_id", "fp").agg(F.collect_list("starts").alias("starts"))
     ranges = starts.mapInArrow(_ranges(window), "doc_id long, fp long, begins array<int>, ends array<int>")
     return materialize(ranges.unionByName(copied.dropDuplicates(["doc_id", "fp"])), "repeated-ranges")
 
 
-def with_ranges(docs: DataFrame, id_col: str, text_col: str, window: int, phrase: int) -> DataFrame:
-    """docs with columns _begins and _ends, null where nothing repeats."""
+def with_ranges(docs: DataFrame, id_col: str, text_col: str, window: int, phrase: int) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: where repeated ranges begin and end, null where nothing repeats."""
+    i, f, begins, ends = (free_name(docs, c) for c in ("range_id", "range_fp", "range_begins", "range_ends"))
     ranges = repeated_ranges(docs, id_col, text_col, window, phrase)
     numbers = ranges.agg(F.sum(2 * F.size("begins") + 2)).first()[0] or 0
-    ranges = ranges.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends"))
-    same = (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col("_fp"))
-    return docs.join(F.broadcast(ranges) if numbers <= SMALL_NUMBERS else ranges, same, "left").drop("_id", "_fp")
+    ranges = ranges.select(F.col("doc_id").alias(i), F.col("fp").alias(f), F.col("begins").alias(begins), F.col("ends").alias(ends))
+    same = (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col(f))
+    return docs.join(F.broadcast(ranges) if numbers <= SMALL_NUMBERS else ranges, same, "left").drop(i, f), begins, ends
 
 
 def kept_words(words: list[bytes], begins, ends) -> list[bytes]:
@@ -200,38 +241,44 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row of its own id, or to a row with a null id; rows with a null id lose none. Repeated rows give equal rows. An
     empty table gives no rows; further columns are not read.
     """
-    rows = with_ranges(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", window, phrase)
+    rows, begins_at, ends_at = with_ranges(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", window, phrase)
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part.slice(lo, 500) for part in batches for lo in range(0, part.num_rows, 500)):
             out = []
-            for doc, text, begins, ends in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "_begins", "_ends")], strict=True):
+            for doc, text, begins, ends in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", begins_at, ends_at)], strict=True):
                 words = py_words(text)
                 kept = kept_words(words, begins, ends)
                 out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.select("doc_id", "text", "_begins", "_ends").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", begins_at, ends_at).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """docs with the repeated words taken out of text_col; texts that lose words have the others joined by one space."""
-    rows = with_ranges(docs, id_col, text_col, window, phrase)
+    """docs with the repeated words taken out of text_col; texts that lose words have the others joined by one space.
+
+    All rows and columns stay, whatever the columns' names. Texts that lose nothing, null and empty ones too, stay as
+    they are; a text whose words all go is empty. Rows with a null id lose nothing, repeated rows lose alike, very long
+    texts are read whole, and an empty table gives no rows.
+    """
+    rows, begins_at, ends_at = with_ranges(docs, id_col, text_col, window, phrase)
     columns = docs.columns
     at = columns.index(text_col)
+    order = [*range(len(columns)), rows.columns.index(begins_at), rows.columns.index(ends_at)]
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part.slice(lo, 500) for part in batches for lo in range(0, part.num_rows, 500)):
             texts = []
-            for text, begins, ends in zip(*[b.column(c).to_pylist() for c in (text_col, "_begins", "_ends")], strict=True):
+            for text, begins, ends in zip(*[b.column(i).to_pylist() for i in (at, order[-2], order[-1])], strict=True):
                 texts.append(b" ".join(kept_words(py_words(text), begins, ends)).decode("utf-8", "surrogatepass") if begins else text)
-            own = b.select(columns)
-            yield own.set_column(at, text_col, pa.array(texts, own.column(at).type))
+            own = [b.column(i) for i in range(len(columns))]
+            own[at] = pa.array(texts, own[at].type)
+            yield pa.RecordBatch.from_arrays(own, columns)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, docs.schema)
