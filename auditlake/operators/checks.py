@@ -181,10 +181,7 @@ def budget_usage(d: Domain) -> DataFrame:
 
 
 def all_checks(d: Domain) -> DataFrame:
-    """(id, code, status) of 15 checks; a document without a row of a check is not checked by it.
-
-    Lines without enough prices before them give no row, as do documents that a check is not for.
-    """
+    """(id, code, status) of the checks; a document without a row of a check is not checked by it, as one that it is not for."""
     from auditlake.operators.intake import order_header_match
     from auditlake.operators.prices import price_history, regional_prices
 
@@ -192,7 +189,8 @@ def all_checks(d: Domain) -> DataFrame:
         return rows.select("id", F.lit(code).alias("code"), "status")
 
     worst = lambda rows: rows.groupBy("id").agg(F.when(F.bool_or(F.col("status") == WARNING), WARNING).otherwise(PASS).alias("status"))
-    judged = lambda rows: worst(rows.filter("price is not null").withColumnRenamed("invoice_id", "id"))
+    judged = lambda rows: worst(rows.filter(F.col("status") != NOT_CHECKED).withColumnRenamed("invoice_id", "id"))
+    d = d.stored()
     out = printed_totals(d)
     for code, rows in (
         ("EXACT_FILE_DUPLICATE", attached_duplicates(d)),

@@ -39,6 +39,7 @@ QUERIES = {
     "price_history_exact": _domain(prices.price_history),
     "price_history_fuzzy": _domain(prices.price_history_fuzzy),
     "regional_price_exact": _domain(prices.regional_prices),
+    "regional_price_report": _domain(prices.region_comparisons),
     "risk_scores": _domain(checks.risk_scores),
     "dashboard_summary": _domain(lambda d: reports.summary(d, CURRENCY)),
     "status_histogram": _domain(lambda d: reports.status_histogram(d, CURRENCY)),
@@ -131,18 +132,15 @@ dup AS (SELECT inv.id, coalesce(n, 0) AS match_count, CASE WHEN n IS NULL THEN '
 RELV = """rv AS (SELECT hd.id, count(it.id) AS lines, count(CASE WHEN part % 6 = 5 THEN 1 END) AS unlinked FROM hd LEFT JOIN it USING (id) GROUP BY hd.id)"""
 VER = """ver AS (SELECT id, verification, CASE WHEN owner <> company_id THEN 'WARNING' WHEN verification = 'VERIFIED' THEN 'PASS' WHEN verification = 'REJECTED' THEN 'WARNING' ELSE 'NOT_CHECKED' END AS status FROM inv LEFT JOIN sup USING (supplier_id))"""
 DOCT = """doct AS (SELECT id, printed, total, printed - total AS diff, CASE WHEN printed IS NULL OR total IS NULL THEN 'NOT_CHECKED' WHEN printed <> total THEN 'WARNING' ELSE 'PASS' END AS status FROM inv)"""
-RISK = f"""{DOCT}, {DUP}, {VER}, {RELATED}, {LINKED}, {SPLIT}, {RELV}, {CAP},
-al AS (SELECT id, 10 AS w, status FROM doct UNION ALL SELECT id, 20, status FROM dup UNION ALL SELECT id, 10, status FROM ver UNION ALL SELECT id, 15, status FROM rel
-  UNION ALL SELECT id, 12, CASE WHEN bool_or(price <> oprice OR billed > ordered) THEN 'WARNING' ELSE 'PASS' END FROM lk GROUP BY id
-  UNION ALL SELECT id, 12, CASE WHEN bool_or(received < billed) THEN 'WARNING' ELSE 'PASS' END FROM lk GROUP BY id
-  UNION ALL SELECT id, 25, status FROM split UNION ALL SELECT id, 10, CASE WHEN lines = 0 THEN 'NOT_CHECKED' WHEN unlinked > 0 THEN 'WARNING' ELSE 'PASS' END FROM rv UNION ALL SELECT id, 20, status FROM capacity),
-risk AS (SELECT id, least(sum(CASE WHEN status = 'WARNING' THEN w ELSE 0 END), 100)::BIGINT AS score, count(CASE WHEN status = 'WARNING' THEN 1 END) AS warnings, count(CASE WHEN status <> 'NOT_CHECKED' THEN 1 END) AS evaluated FROM al GROUP BY id)"""
 LEVEL = "CASE WHEN score >= 50 THEN 'HIGH' WHEN score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS level"
 PL = """pl AS (SELECT it.id, position, eff, q, lower(p_name) AS phrase, CASE p_size % 3 WHEN 2 THEN 'kg' ELSE 'piece' END AS unit, company_id, supplier_id, currency, invoice_date AS day, created_at, status
-  FROM it JOIN hd USING (id) JOIN part ON p_partkey = part WHERE document_type = 'INVOICE' AND invoice_date IS NOT NULL AND length(p_name) >= 6)"""
+  FROM it JOIN hd USING (id) JOIN part ON p_partkey = part WHERE document_type = 'INVOICE' AND invoice_date IS NOT NULL)"""
 #: Quantiles in 4 * ten-thousandths, so that quarters are whole.
 QUANT = "(4 * x[(len(x) - 1) * {k} // 4 + 1] + ((len(x) - 1) * {k} % 4) * (coalesce(x[(len(x) - 1) * {k} // 4 + 2], 0) - x[(len(x) - 1) * {k} // 4 + 1]))"
 HALF = "((({c}) * 2 + {d}) // (2 * {d}))"
+REGIONAL = f"""{PL}, pr AS (SELECT pl.*, region FROM pl JOIN sup USING (supplier_id) WHERE region IS NOT NULL),
+c AS (SELECT f.id, f.position, h.id AS hid, arg_min(h.eff, h.position) AS hp, any_value(h.supplier_id) AS hs, any_value(h.region) AS hregion, any_value(h.day) AS hday FROM pr f JOIN pr h ON f.company_id = h.company_id AND f.currency = h.currency AND f.unit = h.unit AND f.phrase = h.phrase
+  AND length(f.phrase) >= 6 AND h.day BETWEEN f.day - 365 AND f.day AND h.created_at < f.created_at AND h.id <> f.id WHERE h.status IN {SUB} GROUP BY ALL)"""
 ME = "SELECT DISTINCT project_id, x AS user_id, CASE WHEN project_id % 7 = x THEN 'MANAGER' WHEN (project_id + x) % 3 = 0 THEN 'MEMBER' END AS role FROM hd, (SELECT unnest(range(0, 7)) AS x)"
 VAL = f"val AS (SELECT * FROM inv WHERE currency = '{CURRENCY}' AND status <> 'DRAFT')"
 APP, REV = "coalesce(sum(signed) FILTER (WHERE status = 'APPROVED'), 0)", "coalesce(sum(signed) FILTER (WHERE status IN ('PROJECT_REVIEW', 'FINANCE_REVIEW')), 0)"
@@ -164,26 +162,28 @@ ORACLE = {
     "budget_capacity": V + f", {CAP} SELECT id, {m('before', 'exposure_before')}, {m('remaining', 'remaining')}, match_count::BIGINT AS match_count, status FROM capacity",
     "budget_usage": V + f", u AS (SELECT project_id, currency, {APP} AS a, coalesce(sum(signed) FILTER (WHERE status = 'FINANCE_REVIEW'), 0) AS c, coalesce(sum(signed) FILTER (WHERE status IN ('PROJECT_REVIEW', 'CHANGES_REQUESTED')), 0) AS p FROM inv GROUP BY ALL) SELECT project_id, currency, {m('budget', 'budget')}, {m('a', 'approved')}, {m('c', 'committed')}, {m('p', 'pending')}, {m('a + c + p', 'exposure')}, {m('budget - a - c - p', 'remaining')} FROM bud JOIN u USING (project_id, currency)",
     "price_history_exact": V + f""", {PL},
-c AS (SELECT f.id, f.position, h.id AS hid, arg_min(h.eff, h.position) AS hp, any_value(f.eff) AS price FROM pl f JOIN pl h ON f.company_id = h.company_id AND f.supplier_id = h.supplier_id AND f.currency = h.currency AND f.unit = h.unit AND f.phrase = h.phrase
-  AND h.day BETWEEN f.day - 365 AND f.day AND h.created_at < f.created_at AND h.id <> f.id WHERE h.status IN {SUB} GROUP BY ALL),
-g AS (SELECT id, position, any_value(price) AS price, list(hp ORDER BY hp) AS x FROM c GROUP BY ALL HAVING count(*) >= 3),
-r AS (SELECT *, {QUANT.format(k=1)} AS a, {QUANT.format(k=2)} AS b, {QUANT.format(k=3)} AS c FROM g),
-t AS (SELECT *, greatest(10 * c + 15 * (c - a), 12 * b) AS lim FROM r WHERE b > 0)
-SELECT id AS invoice_id, position::INTEGER AS position, len(x) AS samples, {p4('price', 'price')}, {p4(HALF.format(c='b', d=4), 'median')}, {p4(HALF.format(c='a', d=4), 'q1')}, {p4(HALF.format(c='c', d=4), 'q3')}, {p4(HALF.format(c='lim', d=40), 'threshold')},
-  CASE WHEN price * 40 > lim THEN 'WARNING' ELSE 'PASS' END AS status, CASE WHEN len(x) >= 6 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM t""",
-    "regional_price_exact": V + f""", {PL}, pr AS (SELECT pl.*, region FROM pl JOIN sup USING (supplier_id)),
-c AS (SELECT f.id, f.position, h.id AS hid, arg_min(h.eff, h.position) AS hp, any_value(f.eff) AS price, any_value(f.q) AS q, any_value(h.supplier_id) AS hs, any_value(h.region) AS region, any_value(h.region = f.region) AS near FROM pr f JOIN pr h ON f.company_id = h.company_id AND f.currency = h.currency AND f.unit = h.unit AND f.phrase = h.phrase
-  AND h.day BETWEEN f.day - 365 AND f.day AND h.created_at < f.created_at AND h.id <> f.id WHERE h.status IN {SUB} GROUP BY ALL),
-g AS (SELECT id, position, any_value(price) AS price, any_value(q) AS q, count(*) AS samples, count(DISTINCT hs) AS suppliers, count(DISTINCT region) AS regions, count(*) FILTER (WHERE near) AS local, list(hp ORDER BY hp) FILTER (WHERE near) AS x FROM c GROUP BY ALL),
-r AS (SELECT *, {QUANT.format(k=2)} AS b FROM g WHERE samples >= 3 AND suppliers >= 2 AND regions >= 2 AND local >= 2)
-SELECT id AS invoice_id, position::INTEGER AS position, samples, suppliers, regions, local, {p4('price', 'price')}, {p4(HALF.format(c='b', d=4), 'median')}, {p4(HALF.format(c='greatest(4 * price - b, 0) * q', d=4), 'saving')}, CASE WHEN (4 * price - b) * 100 >= b * 20 THEN 'WARNING' ELSE 'PASS' END AS status FROM r WHERE b > 0""",
-    "risk_scores": V + f", {RISK} SELECT *, {LEVEL}, CASE WHEN evaluated >= 10 THEN 'HIGH' WHEN evaluated >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, CASE WHEN warnings > 0 THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS summary FROM risk",
+c AS (SELECT f.id, f.position, h.id AS hid, arg_min(h.eff, h.position) AS hp FROM pl f JOIN pl h ON f.company_id = h.company_id AND f.supplier_id = h.supplier_id AND f.currency = h.currency AND f.unit = h.unit AND f.phrase = h.phrase
+  AND length(f.phrase) >= 6 AND h.day BETWEEN f.day - 365 AND f.day AND h.created_at < f.created_at AND h.id <> f.id WHERE h.status IN {SUB} GROUP BY ALL),
+g AS (SELECT pl.id, pl.position, any_value(eff) AS price, count(hp) AS n, list(hp ORDER BY hp) FILTER (WHERE hp IS NOT NULL) AS x FROM pl LEFT JOIN c ON c.id = pl.id AND c.position = pl.position GROUP BY ALL),
+r AS (SELECT *, CASE WHEN n >= 3 THEN {QUANT.format(k=1)} END AS a, CASE WHEN n >= 3 THEN {QUANT.format(k=2)} END AS b, CASE WHEN n >= 3 THEN {QUANT.format(k=3)} END AS c FROM g),
+t AS (SELECT *, CASE WHEN b > 0 THEN greatest(10 * c + 15 * (c - a), 12 * b) END AS lim FROM r)
+SELECT id AS invoice_id, position::INTEGER AS position, n AS samples, {p4('price', 'price')}, {p4(HALF.format(c='b', d=4), 'median')}, {p4(HALF.format(c='a', d=4), 'q1')}, {p4(HALF.format(c='c', d=4), 'q3')}, {p4(HALF.format(c='lim', d=40), 'threshold')},
+  CASE WHEN lim IS NULL THEN 'NOT_CHECKED' WHEN price * 40 > lim THEN 'WARNING' ELSE 'PASS' END AS status, CASE WHEN lim IS NOT NULL THEN CASE WHEN n >= 6 THEN 'HIGH' ELSE 'MEDIUM' END END AS confidence FROM t""",
+    "regional_price_exact": V + f""", {REGIONAL},
+g AS (SELECT pr.id, pr.position, any_value(pr.eff) AS price, any_value(pr.q) AS q, count(hid) AS samples, count(DISTINCT hs) AS suppliers, count(DISTINCT hregion) AS regions, count(*) FILTER (WHERE hregion = pr.region) AS local, list(hp ORDER BY hp) FILTER (WHERE hregion = pr.region) AS x FROM pr LEFT JOIN c ON c.id = pr.id AND c.position = pr.position GROUP BY ALL),
+r AS (SELECT *, CASE WHEN samples >= 3 AND suppliers >= 2 AND regions >= 2 AND local >= 2 THEN {QUANT.format(k=2)} END AS b FROM g)
+SELECT id AS invoice_id, position::INTEGER AS position, samples, suppliers, regions, local, {p4('price', 'price')}, {p4(HALF.format(c='b', d=4), 'median')}, {p4(HALF.format(c='CASE WHEN b > 0 THEN greatest(4 * price - b, 0) * q END', d=4), 'saving')},
+  CASE WHEN coalesce(b, 0) <= 0 THEN 'NOT_CHECKED' WHEN (4 * price - b) * 100 >= b * 20 THEN 'WARNING' ELSE 'PASS' END AS status, CASE WHEN b > 0 THEN CASE WHEN samples >= 6 AND suppliers >= 3 AND regions >= 3 THEN 'HIGH' ELSE 'MEDIUM' END END AS confidence FROM r""",
+    "regional_price_report": V + f""", {REGIONAL},
+e AS (SELECT DISTINCT c.id, pr.unit, pr.phrase, pr.region, hid, hp, hs, hregion, hday FROM c JOIN pr ON c.id = pr.id AND c.position = pr.position),
+g AS (SELECT id, unit, phrase, region, hregion, count(*) AS invoices, count(DISTINCT hs) AS suppliers, min(hday) AS date_from, max(hday) AS date_to, list(hp ORDER BY hp) AS x FROM e GROUP BY ALL),
+r AS (SELECT *, {HALF.format(c=QUANT.format(k=2), d=4)} AS b FROM g)
+SELECT id AS invoice_id, unit, phrase, region, row_number() OVER (PARTITION BY id, unit, phrase ORDER BY hregion <> region, b, hregion)::INTEGER AS number, hregion AS compared_region, {p4('b', 'median')}, invoices, suppliers, date_from, date_to FROM r""",
     "dashboard_summary": V + f", {VAL} SELECT count(*) AS documents, count(*) FILTER (WHERE status = 'APPROVED') AS approved_documents, count(*) FILTER (WHERE status IN ('PROJECT_REVIEW', 'FINANCE_REVIEW')) AS review_documents, {m(APP, 'approved_net')}, {m(REV, 'review_net')} FROM val",
     "status_histogram": V + f", {VAL} SELECT x AS status, count(id) AS n FROM (SELECT unnest({list(reports.STATUSES)}) AS x) LEFT JOIN val ON status = x GROUP BY x",
     "monthly_trend": V + f", {VAL}, mm AS (SELECT strftime(unnest(range(date_trunc('month', DATE '{AS_OF}') - INTERVAL 5 MONTH, date_trunc('month', DATE '{AS_OF}') + INTERVAL 1 DAY, INTERVAL 1 MONTH)), '%Y-%m') AS month) SELECT month, {m('coalesce(sum(signed), 0)', 'amount')} FROM mm LEFT JOIN val ON status = 'APPROVED' AND strftime(invoice_date, '%Y-%m') = month GROUP BY month",
     "project_breakdown": V + f", {VAL}, pj AS (SELECT DISTINCT project_id FROM hd) SELECT project_id, count(id) AS documents, {m(APP, 'approved_net')}, {m(REV, 'review_net')} FROM pj LEFT JOIN val USING (project_id) GROUP BY project_id",
     "supplier_top6": V + f", {VAL}, t AS (SELECT supplier_id, sum(signed) AS v, count(*) AS documents FROM val WHERE status = 'APPROVED' GROUP BY 1 ORDER BY abs(sum(signed)) DESC, supplier_id LIMIT 6) SELECT supplier_id, {m('v', 'approved_net')}, documents FROM t",
-    "exception_queue": V + f", {RISK} SELECT id, project_id, score, {LEVEL} FROM risk JOIN hd USING (id) WHERE score > 0 AND currency = '{CURRENCY}' AND status IN ('PROJECT_REVIEW', 'FINANCE_REVIEW') ORDER BY score DESC, id LIMIT 10",
     "invoice_register": V + f"SELECT id, {SAFE.format(c='number')} AS number, document_type, status, currency, invoice_date, {SAFE.format(c='region')} AS region, {m('total', 'total')}, {m('signed', 'signed_total')} FROM inv LEFT JOIN sup USING (supplier_id) WHERE status <> 'DRAFT'",
     "visible_invoices_finance": V + "SELECT id, project_id, status FROM hd WHERE company_id = 1 AND status <> 'DRAFT'",
     "visible_invoices_manager": V + f", me AS ({ME}) SELECT id, project_id, status FROM hd WHERE status <> 'DRAFT' AND project_id IN (SELECT project_id FROM me WHERE user_id = 3 AND role = 'MANAGER')",
@@ -204,3 +204,28 @@ SELECT user_id, state, moves FROM f QUALIFY row_number() OVER (PARTITION BY user
     "json_props_extract": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
     "notifications_fanout": "SELECT recipient, event_type, ts::DATE AS day, min(event_id) AS event_id FROM events JOIN (SELECT x % 7 AS sender, x + 100 AS recipient FROM (SELECT unnest(range(0, 14)) AS x)) ON user_id % 7 = sender GROUP BY ALL",
 }
+
+#: The printed totals and what is added to them on every eleventh document, in cents.
+PRINTED = {"DOCUMENT_SUBTOTAL": ("subtotal - discount", 100), "DOCUMENT_TAX_TOTAL": ("tax", 0), "DOCUMENT_GRAND_TOTAL": ("total", 100)}
+HEADER = """hm AS (SELECT id, CASE WHEN po IS NULL THEN 'NOT_CHECKED' WHEN k % 7 = 0 OR (k % 9 = 0 AND currency <> 'USD') THEN 'WARNING' ELSE 'PASS' END AS status FROM hd)"""
+WORST = "SELECT invoice_id, '{}', CASE WHEN bool_or(status = 'WARNING') THEN 'WARNING' ELSE 'PASS' END FROM ({}) WHERE status <> 'NOT_CHECKED' GROUP BY 1"
+RISK = f"""{DUP}, {VER}, {RELATED}, {LINKED}, {SPLIT}, {RELV}, {CAP}, {HEADER},
+att AS (SELECT hd.id, company_id, sha256(text) AS sha FROM hd JOIN documents ON doc_id = k % (SELECT count(*) FROM documents)),
+al AS ({" UNION ALL ".join(f"SELECT id, '{code}' AS code, CASE WHEN k % 13 = 0 OR {v} IS NULL THEN 'NOT_CHECKED' WHEN k % 11 = 0 AND {add} <> 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM inv" for code, (v, add) in PRINTED.items())}
+  UNION ALL SELECT id, 'EXACT_FILE_DUPLICATE', CASE WHEN n > 1 THEN 'WARNING' ELSE 'PASS' END FROM hd LEFT JOIN (SELECT id, count(*) OVER (PARTITION BY company_id, sha) AS n FROM att) USING (id)
+  UNION ALL SELECT id, 'POTENTIAL_DUPLICATE', status FROM dup
+  UNION ALL {WORST.format("HISTORICAL_PRICE_ANOMALY", ORACLE["price_history_exact"])}
+  UNION ALL {WORST.format("REGIONAL_SUPPLIER_PRICE", ORACLE["regional_price_exact"])}
+  UNION ALL SELECT id, 'SUPPLIER_VERIFICATION', status FROM ver UNION ALL SELECT id, 'RELATED_FINANCIAL_DOCUMENT', status FROM rel UNION ALL SELECT id, 'PURCHASE_ORDER_HEADER', status FROM hm
+  UNION ALL SELECT id, 'PURCHASE_ORDER_LINES', CASE WHEN bool_or(price <> oprice OR billed > ordered) THEN 'WARNING' ELSE 'PASS' END FROM lk GROUP BY id
+  UNION ALL SELECT id, 'GOODS_RECEIPT_MATCH', CASE WHEN bool_or(received < billed) THEN 'WARNING' ELSE 'PASS' END FROM lk GROUP BY id
+  UNION ALL SELECT id, 'SPLIT_INVOICE', status FROM split
+  UNION ALL SELECT id, 'PROJECT_BUDGET_RELEVANCE', CASE WHEN lines = 0 THEN 'NOT_CHECKED' WHEN unlinked > 0 THEN 'WARNING' ELSE 'PASS' END FROM rv
+  UNION ALL SELECT id, 'PROJECT_BUDGET_CAPACITY', status FROM capacity),
+w AS (SELECT unnest({list(checks.WEIGHTS)}) AS code, unnest({list(checks.WEIGHTS.values())}) AS w),
+risk AS (SELECT id, least(sum(CASE WHEN status = 'WARNING' THEN w ELSE 0 END), 100)::BIGINT AS score, count(*) FILTER (WHERE status = 'WARNING') AS warnings, count(*) FILTER (WHERE status <> 'NOT_CHECKED') AS evaluated,
+  bool_or(status = 'NOT_CHECKED' AND code IN {checks.FIRST}) AS open FROM al JOIN w USING (code) GROUP BY id)"""
+ORACLE |= {
+    "risk_scores": V + f", {RISK} SELECT id, score, warnings, evaluated, {LEVEL}, CASE WHEN evaluated >= 10 THEN 'HIGH' WHEN evaluated >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, CASE WHEN warnings > 0 THEN 'NEEDS_REVIEW' WHEN open THEN 'INCOMPLETE' ELSE 'PASS' END AS summary FROM risk",
+    "exception_queue": V + f", {RISK} SELECT id, project_id, score, {LEVEL} FROM risk JOIN hd USING (id) WHERE score > 0 AND currency = '{CURRENCY}' AND status IN ('PROJECT_REVIEW', 'FINANCE_REVIEW') ORDER BY score DESC, id LIMIT 10",
+}

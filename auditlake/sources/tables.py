@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.money import MONEY, PRICE, effective_unit_price, line_amounts, money
-from auditlake.functions.text import number_key, unit_key
+from auditlake.functions.text import number_key, phrase, unit_key
 
 SUBMITTED = ("PROJECT_REVIEW", "FINANCE_REVIEW", "APPROVED")
 COUNTED = (*SUBMITTED, "CHANGES_REQUESTED")
@@ -17,6 +20,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the folder that driver and executors share; a temporary one only where all run on one machine."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="auditlake-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Domain:
     """Views over one folder of tables. Nothing is computed until a query's result is."""
 
@@ -62,9 +78,9 @@ class Domain:
         return self._with_clones(rows, "invoice_id")
 
     def described_items(self) -> DataFrame:
-        """items with description, unit and category of their part."""
+        """items with description, its phrase, unit and category of their part."""
         unit = F.expr("case p_size % 3 when 0 then 'piece' when 1 then 'pcs' else 'kg' end")
-        part = self.read("part").select(F.col("p_partkey").alias("part_id"), F.lower("p_name").alias("description"), unit_key(unit).alias("unit"), F.col("p_type").alias("category"))
+        part = self.read("part").select(F.col("p_partkey").alias("part_id"), F.col("p_name").alias("description"), phrase(F.col("p_name")).alias("phrase"), unit_key(unit).alias("unit"), F.col("p_type").alias("category"))
         return self.items().join(part, "part_id")
 
     def totals(self) -> DataFrame:
@@ -88,14 +104,18 @@ class Domain:
         rows = self.headers().select("id", "company_id", (F.col("order_id") % n).alias("doc_id"))
         return rows.join(texts.groupBy("doc_id").agg(F.min("sha256").alias("sha256")), "doc_id").select("id", "company_id", "sha256")
 
+    def stored(self) -> Domain:
+        """This domain with lines and documents written once, for queries that read them many times."""
+        return Stored(self)
+
     def suppliers(self) -> DataFrame:
-        """(supplier_id, company_id, region_code, verification)."""
+        """(supplier_id, company_id, region_code, verification, supplier_name)."""
         s = self.read("supplier").filter("s_suppkey is not null")
         nation, region = self.read("nation"), self.read("region")
         geo = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
         rows = s.join(F.broadcast(geo), s.s_nationkey == F.col("n_nationkey"), "left")
         state = F.expr("case s_suppkey % 4 when 0 then 'VERIFIED' when 1 then 'PENDING' when 2 then 'REJECTED' else 'UNVERIFIED' end")
-        return rows.select(F.col("s_suppkey").alias("supplier_id"), (F.col("s_suppkey") % 2).alias("company_id"), F.col("r_name").alias("region_code"), state.alias("verification"))
+        return rows.select(F.col("s_suppkey").alias("supplier_id"), (F.col("s_suppkey") % 2).alias("company_id"), F.col("r_name").alias("region_code"), state.alias("verification"), F.col("s_name").alias("supplier_name"))
 
     def budgets(self) -> DataFrame:
         """(project_id, currency, budget): ten projects by three currencies, from the headers that use them."""
@@ -116,3 +136,28 @@ class Domain:
             F.col("order_id").alias("purchase_order_id"), "position", (F.col("quantity") + F.col("position") % 3 - 1).cast("decimal(14,4)").alias("ordered"),
             F.expr("if(position % 4 = 0, unit_price + 1, unit_price)").cast(PRICE).alias("order_price"), F.col("tax_rate").alias("order_tax"), received.alias("received"),
         )
+
+
+class Stored(Domain):
+    """A domain whose lines, headers and documents are Parquet tables in the shared folder, each written when first read."""
+
+    def __init__(self, source: Domain):
+        super().__init__(source.spark, source.sf_dir)
+        self.written: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, made) -> DataFrame:
+        if name not in self.written:
+            self.written[name] = written(made(), name)
+        return self.written[name]
+
+    def headers(self) -> DataFrame:
+        return self._once("headers", super().headers)
+
+    def items(self) -> DataFrame:
+        return self._once("items", super().items)
+
+    def described_items(self) -> DataFrame:
+        return self._once("described-items", super().described_items)
+
+    def invoices(self) -> DataFrame:
+        return self._once("invoices", super().invoices)

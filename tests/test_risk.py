@@ -4,30 +4,10 @@ import duckdb
 
 from auditlake.operators import checks, reports
 from auditlake.plans import catalogue as c
-from auditlake.plans import intake
 from auditlake.sources.tables import Domain
 
 SF = "/root/testdata/sf0.001"
-TOTALS = {"DOCUMENT_SUBTOTAL": ("subtotal - discount", 100), "DOCUMENT_TAX_TOTAL": ("tax", 0), "DOCUMENT_GRAND_TOTAL": ("total", 100)}
-WORST = "SELECT invoice_id, '{}', CASE WHEN bool_or(status = 'WARNING') THEN 'WARNING' ELSE 'PASS' END FROM ({}) GROUP BY 1"
-SQL = c.V + f""", {c.DOCT}, {c.DUP}, {c.VER}, {c.RELATED}, {c.LINKED}, {c.SPLIT}, {c.RELV}, {c.CAP},
-att AS (SELECT hd.id, company_id, sha256(text) AS sha FROM hd JOIN documents ON doc_id = k % (SELECT count(*) FROM documents)),
-al AS ({" UNION ALL ".join(f"SELECT id, '{code}' AS code, CASE WHEN k % 13 = 0 OR {v} IS NULL THEN 'NOT_CHECKED' WHEN k % 11 = 0 AND {add} <> 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM inv" for code, (v, add) in TOTALS.items())}
-  UNION ALL SELECT id, 'EXACT_FILE_DUPLICATE', CASE WHEN n > 1 THEN 'WARNING' ELSE 'PASS' END FROM hd LEFT JOIN (SELECT id, count(*) OVER (PARTITION BY company_id, sha) AS n FROM att) USING (id)
-  UNION ALL SELECT id, 'POTENTIAL_DUPLICATE', status FROM dup
-  UNION ALL {WORST.format("HISTORICAL_PRICE_ANOMALY", c.ORACLE["price_history_exact"])}
-  UNION ALL {WORST.format("REGIONAL_SUPPLIER_PRICE", c.ORACLE["regional_price_exact"])}
-  UNION ALL SELECT id, 'SUPPLIER_VERIFICATION', status FROM ver UNION ALL SELECT id, 'RELATED_FINANCIAL_DOCUMENT', status FROM rel
-  UNION ALL SELECT id, 'PURCHASE_ORDER_HEADER', status FROM ({intake.ORACLE["po_header_match"]})
-  UNION ALL SELECT id, 'PURCHASE_ORDER_LINES', CASE WHEN bool_or(price <> oprice OR billed > ordered) THEN 'WARNING' ELSE 'PASS' END FROM lk GROUP BY id
-  UNION ALL SELECT id, 'GOODS_RECEIPT_MATCH', CASE WHEN bool_or(received < billed) THEN 'WARNING' ELSE 'PASS' END FROM lk GROUP BY id
-  UNION ALL SELECT id, 'SPLIT_INVOICE', status FROM split
-  UNION ALL SELECT id, 'PROJECT_BUDGET_RELEVANCE', CASE WHEN lines = 0 THEN 'NOT_CHECKED' WHEN unlinked > 0 THEN 'WARNING' ELSE 'PASS' END FROM rv
-  UNION ALL SELECT id, 'PROJECT_BUDGET_CAPACITY', status FROM capacity),
-w AS (SELECT unnest([{", ".join(f"'{k}'" for k in checks.WEIGHTS)}]) AS code, unnest([6, 8, 10, 25, 20, 15, 15, 10, 15, 8, 12, 12, 25, 10, 20]) AS w),
-risk AS (SELECT id, least(sum(CASE WHEN status = 'WARNING' THEN w ELSE 0 END), 100)::BIGINT AS score, count(*) FILTER (WHERE status = 'WARNING') AS warnings, count(*) FILTER (WHERE status <> 'NOT_CHECKED') AS evaluated,
-  bool_or(status = 'NOT_CHECKED' AND code IN {checks.FIRST}) AS open FROM al JOIN w USING (code) GROUP BY id)
-"""
+SQL = f"{c.V}, {c.RISK}"
 LEVELS = ", CASE WHEN evaluated >= 10 THEN 'HIGH' WHEN evaluated >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, CASE WHEN warnings > 0 THEN 'NEEDS_REVIEW' WHEN open THEN 'INCOMPLETE' ELSE 'PASS' END AS summary"
 
 
