@@ -19,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set."""
+    """The folder that the driver and all executors share; a temporary one only where none is set and all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark, "_auditlake_scratch", None) or tempfile.mkdtemp(prefix="auditlake-")
         spark._auditlake_scratch = folder
     return folder.rstrip("/")

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from auditlake.llm.common import materialize
+from auditlake.llm.common import free_name, materialize
 
 SIZE, THRESHOLD = 5, 0.8
-#: Tables of at most so many rows are broadcast (under 100 MB); larger ones are joined by a shuffle.
-SMALL_ROWS = 1_000_000
+#: Tables of at most so many bytes are broadcast; larger ones are joined by a shuffle.
+SMALL_BYTES = 64 << 20
 
 
 def token_words(text: Column) -> Column:
@@ -33,7 +33,9 @@ def _text(n: int) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    """df, broadcast if its values have at most SMALL_BYTES."""
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(8) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= SMALL_BYTES else df
 
 
 def item_shingles(items: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
@@ -100,7 +102,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null id stay."""
-    leaks = find_leaks(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
+    """docs without the documents that hold a benchmark item, with all of docs' columns, whatever their names.
+
+    All rows of an id go if one of them holds an item, or all together do. Rows with a null id stay, and so do null and
+    empty texts; very long texts are searched whole; an empty table of documents or items drops nothing.
+    """
+    leak = free_name(docs, "leak")
+    leaks = find_leaks(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(leak)).distinct()
     leaks = materialize(leaks, "leaks")
-    return docs.join(_small(leaks), docs[id_col] == F.col("_leak"), "left_anti")
+    return docs.join(_small(leaks), docs[id_col] == F.col(leak), "left_anti")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Elements whose content is never text of the page.
 HIDDEN = {"script", "style", "noscript", "template", "title", "textarea", "select", "option", "button", "svg", "math", "iframe", "object", "canvas"}
@@ -160,19 +161,63 @@ TRAINING = [
     """<body><ul><li><a>-Front page</a><li><a>-Letters</a></ul><div class="notice">-This site keeps a record of what you read here so that it can show you more of the same; by going on you agree to this and to the terms that our partners have set out for such records.</div><div><p>+The mill at the lower weir has been turning again since Tuesday, after a pause of forty years, and the new miller says that she has orders for all the flour that it can grind until the autumn.<p>+She is glad.<p>+Her stones come from the same quarry as the old ones, which were broken up for a road when the mill was shut, and the wheel was made by two brothers in the next village.<p>+It took them a year.<p>+On Sundays the mill may be looked at, and there is bread from its own flour for those who come early enough, as not many did on the first of these Sundays, when it rained.</div><div id="discussion"><p>-My grandfather was the last miller there and he would have been so pleased to see the wheel go round again after all this time, I wish the new miller all the luck that there is in the world.<p>-Same here, and I hope that the bread is as good as they say, since there has been none worth eating in this town for as long as I can remember.</div><aside><p>-Readers who liked this story also liked the one about the baker who moved to the coast and the one about the flood that took away the lower bridge in the year of the long winter.</aside><footer><p>-The views in letters and comments are those of their writers and not of this paper, which takes no blame for them, nor for goods and services that are advertised on these pages by others.</footer>""",
     """<body><nav><p>-Here you find all that we have written about the town and its people in the last ten years, sorted by street and by the year in which it was first printed in our paper.</nav><table><tr><td>+Wheat was sown on less land than in any year since records began, since the price fell before the winter and the seed was dear, the growers' union told its members in a letter.</td></tr><tr><td>+Barley took its place.</td></tr><tr><td>+In the south, where the soil is light, growers turned to rye, which asks for little and is bought by the distillers whatever its quality may be.</td></tr></table><form><p>-Fill in the lines below and we shall send you our letter each Friday, with the prices of grain and of land in all the counties of the south, and nothing else, for as long as you wish.</form><div class="sidebar"><p>-Land for sale: four acres with a barn and a well, on the road to the coast, to be seen by those who write to the owner before the end of this month.</div><div><a>-Prices</a> <a>-Land</a> <a>-Weather</a> <a>-Machines</a> <a>-Seed</a> <a>-Tools</a> <a>-Letters</a> <a>-Old papers</a> <a>-Work</a> <a>-Help</a> <a>-For schools</a> <a>-For growers in the south</a> <a>-For growers in the north</a></div><div>-Terms</div>""",
     """<html class="cookie-consent"><body class="single-post has-sidebar comments-open"><nav><a>-Home</a> <a>-Gardens</a></nav><div class="page-with-widgets"><div class="content with-sidebar"><article class="post tags-trees related-posts-on"><h1>+Planting a pear</h1><p>+A pear wants a warm wall and a deep soil, and for the first two summers it wants a bucket of water every week, whatever the weather has been.<p>+Then leave it alone.</article><section id="comments"><article class="comment-body"><p>-Ours stood for six years without a single pear and then bore so many in one autumn that two branches broke off.</article></section></div><div class="sidebar"><p>-Our shop has young trees of twelve kinds, with free delivery to all towns on the coast from the first of November on.</div></div><footer>-Imprint</footer>""",
+    """<body><nav><a>-Home</a> <a>-Rivers</a></nav><article><h2>+Sources</h2><p>+See <a>the map</a> of it.<p>+Written by <a>Ann Reed</a> in May.<ul><li>+<a>The upper weir</a> fell first.<li>+Then <a>the mill</a>.</ul><p>+Both were built again, the mill with <a>money from the county</a> and the weir by the people of the village with their own hands over two summers.<p>+<a>Plans</a> are kept.</article><aside><p>-See <a>our guide</a> to weirs.</aside><footer>-Write to <a>the editor</a> of it.</footer>""",
+    """<body><div class="menu"><a>-Start</a></div><main><p>+By <a>Jo Hill</a>.<p>+The ferry stopped on Monday, and nobody knows when it will run again, since the new engine lies on the quay at <a>Port Sand</a>.<p>+More on <a>the engine</a> here.<p>+It is blue.</main><div class="related"><p>-More on <a>ferries</a> here.</div><footer><p>-By <a>The Coast</a>.</footer>""",
 ]
 
 
-def training_rows() -> list[tuple[list[float], float]]:
+#: Pages of bare div elements, and as many with telling ones, that are added to TRAINING.
+SAMPLE_PAGES = 80
+_SYLLABLES = "ba den fo gri ka lem mor nu pel qua ri sto tan ve wil zo".split()
+
+
+def sample_page(seed: int, marked: bool) -> str:
+    """A labelled page: links, short lines, paragraphs long and short, then links, short lines and prose of others.
+
+    On a page that is not marked, only word counts, link densities and those of the neighbours tell its article; there
+    is no prose of others on it. A marked page has its parts in elements and names that tell them.
+    """
+    rng = random.Random(seed)
+    words = lambda n: " ".join("".join(rng.choices(_SYLLABLES, k=rng.randint(1, 4))) for _ in range(n))
+    line = lambda mark, low, high, tag="div": f"<{tag}>{mark}{words(rng.randint(low, high))}</{tag}>"
+    links = lambda n: "".join(f"<div><a>-{words(rng.randint(1, 9))}</a></div>" for _ in range(n))
+    around = lambda inner, *ways: rng.choice(ways) % inner if marked else inner
+    ads = ('<div class="ad">%s</div>', "<aside>%s</aside>", '<div class="promo">%s</div>', '<div role="alert">%s</div>', '<div class="cookie">%s</div>')
+    top = around(links(rng.randint(2, 8)), "<nav>%s</nav>", '<div class="menu">%s</div>')
+    top += around(line("-", 1, 8), "<header>%s</header>", *ads) + (around(line("-", 1, 60), *ads) if marked else links(rng.randint(0, 2)))
+    article = [line("+", 1, 12, "h1")] if marked else []
+    article.append(line("+", 1 if marked else 25, 90))
+    for _ in range(rng.randint(0 if marked else 3, 12)):
+        kind = rng.random()
+        if kind < 0.12:
+            article.append(around(links(1), *ads))
+        elif kind < 0.3:
+            article.append(f"<div>+{words(rng.randint(1 if marked else 20, 60))} <a>{words(2)}</a> {words(5)}</div>")
+        else:
+            article.append(line("+", 1, 9) if kind < 0.55 else line("+", 20, 90))
+    if not marked:
+        article.append(line("+", 20, 90))
+    below = links(rng.randint(1, 4)) + line("-", 2, 9) + links(rng.randint(1, 6)) + line("-", 2, 9)
+    if marked:
+        below = around(line("-", 1, 60) + line("-", 1, 60), "<section id='comments'>%s</section>", *ads) + rng.choice(["", around(below, "<div class='related'>%s</div>", "<aside>%s</aside>")])
+        below += around(line("-", 1, 40), "<footer>%s</footer>", '<div class="footer">%s</div>')
+    return "<body>" + top + around("".join(article), "<article>%s</article>", "<main>%s</main>", '<div class="content">%s</div>') + below
+
+
+def labelled(pages: list[str]) -> list[tuple[list[float], float]]:
+    """Features and label (1 for the article) of each block of labelled pages."""
     rows = []
-    for page in TRAINING:
+    for page in pages:
         found = blocks(page)
-        features = with_neighbours(found)
-        rows += [(f, float(t.startswith("+"))) for (t, _), f in zip(found, features, strict=True)]
+        rows += [(f, float(t.startswith("+"))) for (t, _), f in zip(found, with_neighbours(found), strict=True)]
     return rows
 
 
-def train(spark: SparkSession, depth: int = 6) -> tuple:
+def training_rows() -> list[tuple[list[float], float]]:
+    return labelled([*TRAINING, *[sample_page(i, m) for i in range(SAMPLE_PAGES) for m in (False, True)]])
+
+
+def train(spark: SparkSession, depth: int = 8) -> tuple:
     """The decision tree as nested (feature, threshold, left, right) with 0.0 or 1.0 at its leaves."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.linalg import Vectors
@@ -210,14 +255,14 @@ def extract_text(pages: DataFrame, html_col: str = "html", tree=None) -> DataFra
     equal rows; an empty table gives no rows. Columns of pages named text or n_chars are replaced.
     """
     tree = train(pages.sparkSession) if tree is None else tree
-    keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    keep = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            texts = [main_text(p, tree) for p in b.column("_html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
+        for b in (part.slice(lo, 500) for part in batches for lo in range(0, part.num_rows, 500)):
+            texts = [main_text(p, tree) for p in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema)
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(run, f"{schema}text string, n_chars long")
+    schema = StructType([*pages.select(*keep).schema.fields, StructField("text", StringType()), StructField("n_chars", LongType())])
+    return pages.select(*keep, html_col).mapInArrow(run, schema)

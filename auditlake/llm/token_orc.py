@@ -84,7 +84,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     """Encode every text, append end_id, and write (doc_id, ids, shard, row) as ORC in ascending doc_id order.
 
     Files follow each other in doc_id order, and rows do within a file; shard numbers the files and row the rows.
-    Null and empty texts hold end_id alone. Null ids come first; rows with equal ids are ordered by text. An
+    Null and empty texts hold end_id alone; very long texts are encoded whole. Null ids come first; rows with equal ids are ordered by text. An
     empty table writes an empty folder with the schema. Further columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -100,6 +100,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, ids array<int>, shard int, row long").orc(path)
 
 
+def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """The rows of some documents: files and stripes that cannot hold them are skipped by statistics, indexes and Bloom filters."""
+    return read_tokens(spark, path).filter(F.col("doc_id").isin(ids))
+
+
 def checksums(batches):
     """n_tokens and the CRC-32 of the ids as little-endian 32-bit integers, from Arrow's own buffers."""
     import numpy as np
@@ -116,7 +121,8 @@ def checksums(batches):
 def token_index(tokens: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of written tokens; start counts the ids of all rows before it.
 
-    Starts are added up within each file, and one row for each file carries the sums of the files before it.
+    Starts are added up within each file, and one row for each file carries the sums of the files before it: those
+    rows, one for each file of at least a task's size, are all that one task and the broadcast hold.
     """
     sums = tokens.select("doc_id", "shard", "row", "ids").mapInArrow(checksums, "doc_id long, shard int, row long, n_tokens long, ids_crc32 long")
     sums = materialize(sums, "token-sums")

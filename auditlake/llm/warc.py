@@ -11,7 +11,7 @@ import re
 import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -26,12 +26,16 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def chunk_rows(records: DataFrame, payload: Column, chunk: int = CHUNK) -> DataFrame:
-    """records' columns, chunk_no from 0, last, and data; an empty payload is one empty chunk."""
-    held = records.withColumn("_p", payload)
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length("_p") / chunk)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("chunk_no"), (i == n - 1).alias("last"), F.substring(F.col("_p"), i * chunk + 1, F.lit(chunk)).alias("data")))
-    return held.select(*records.columns, F.explode(parts).alias("c")).select(*records.columns, "c.*")
+def chunk_rows(records: DataFrame, payload: str, chunk: int = CHUNK) -> DataFrame:
+    """records' other columns, chunk_no from 0, last, and data; an empty payload is one empty chunk.
+
+    Only chunk numbers are exploded, and each row's data is cut from the payload as the row is made, so a payload's
+    chunks are never held together.
+    """
+    others = [c for c in records.columns if c != payload]
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(payload) / chunk)).cast("int")
+    each = records.select(*others, payload, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    return each.select(*others, "chunk_no", (F.col("chunk_no") == n - 1).alias("last"), F.substring(F.col(payload), F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
 
 
 def digest_rows(chunks: DataFrame) -> DataFrame:
@@ -255,10 +259,10 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     its payload are one record; one id with different payloads has a record for each. An empty table writes nothing.
     Only the three columns are read.
     """
-    payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
+    payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("fp", F.xxhash64("payload"))
-    chunks = chunk_rows(rows.select("page_id", "fp", "url", "payload"), F.col("payload")).drop("payload")
+    chunks = chunk_rows(rows.select("page_id", "fp", "url", "payload"), "payload")
     digests = materialize(digest_rows(chunks), "warc-digests")
     return write_archives(record_table(digests), chunks, path)
 

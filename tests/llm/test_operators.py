@@ -165,7 +165,7 @@ def test_substrings(spark, docs, none):
 def test_leaks(spark, docs, none):
     items = spark.createDataFrame([(1, PASSAGE, 0), (2, "don't x", 0), (3, None, 0), (4, "never seen words here at all", 0)], "item_id long, text string, doc_id int")
     got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.find_leaks(docs, items).collect()}
-    assert set(got) == {(1, 1), (4, 1), (5, 1), (7, 1), (8, 2)} or set(got) == {(1, 1), (4, 1), (5, 1), (8, 2)}
+    assert set(got) == {(1, 1), (4, 1), (5, 1), (7, 1), (8, 2)}  # the 50 words that row 7 repeats hold 46 of the 56 shingles
     assert decontaminate.find_leaks(none, items).count() == 0 and decontaminate.find_leaks(docs, items.limit(0)).count() == 0
 
 
