@@ -68,18 +68,18 @@ def input_partitions(df: DataFrame) -> int:
     return max(shuffle_partitions(df.sparkSession), df.rdd.getNumPartitions())
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, spread: str, how: str = "inner", total: int | None = None, heavy: DataFrame | None = None) -> DataFrame:
     """Join rows with counted, which has one row and a column n (rows of that key) for each key.
 
     Keys with over 1/2000 of all rows number fewer than 2000, so their list has a fixed bound and may be
     broadcast. Their rows are dealt to SALTS parts by column spread, and their counted row is repeated for each part.
+    total is the sum of n, and heavy a smaller table of key and n to find such keys in, where these are at hand.
     """
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    heavy = counted.filter(F.col("n") > max(total / 2000, 200)).select(F.col(key).alias("_heavy"))
-    heavy = F.broadcast(heavy)
-    left = rows.join(heavy, rows[key] == heavy["_heavy"], "left").withColumn(
-        "_salt", F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    )
-    salts = F.when(F.col("n") > max(total / 2000, 200), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = counted.withColumn("_salt", F.explode(salts))
-    return left.drop("_heavy").join(right, [key, "_salt"], how).drop("_salt")
+    total = (counted.agg(F.sum("n")).first()[0] or 0) if total is None else total
+    least = max(total / 2000, 200)
+    hot, salt = free_name(rows, "hot_key"), free_name(rows, "salt")
+    keys = F.broadcast((counted if heavy is None else heavy).filter(F.col("n") > least).select(F.col(key).alias(hot)))
+    left = rows.join(keys, rows[key] == keys[hot], "left").withColumn(salt, F.when(F.col(hot).isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = counted.withColumn(salt, F.explode(salts))
+    return left.drop(hot).join(right, [key, salt], how).drop(salt)

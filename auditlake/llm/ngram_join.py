@@ -23,13 +23,13 @@ SIGNATURE = 16
 #: Shingles, and documents, that a task works on together.
 RUN, RUN_DOCS = 2_000_000, 60_000
 #: Bytes of text for each bucket of the hash space, and the least and most bits of buckets.
-BUCKET_BYTES, LEAST_BITS, MOST_BITS = 32 << 20, 5, 18
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 32 << 20, 8, 18
 #: Shingles with at least HOT_ROWS documents and 1 of HOT_SHARE of all shingles, at most HOT_SHARE in number, come last
 #: in every order and are not counted, so that no bucket holds them.
 HOT_ROWS, HOT_SHARE = 1_000_000, 400_000
 #: After a star round, postings of different components are compared with each other if they make at most so many pairs a
-#: posting; else another star round goes before, STAR_ROUNDS in all at most.
-PAIRS_PER_ROW, STAR_ROUNDS = 20, 6
+#: posting, or if the round found no link; else another star round goes before, STAR_ROUNDS in all at most.
+PAIRS_PER_ROW, STAR_ROUNDS = 200, 3
 
 
 def shingle_set(text: str | None, gram: int):
@@ -57,9 +57,9 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-#: Rows of the first pass: documents; and of runs, at bucket -1 the classes, sizes and distinct keys of their documents,
-#: at bucket -2 keys that many of them have and their counts, at buckets from 0 on their keys' documents and low 32 bits.
-PROFILE = "doc_id long, class binary, n int, signature binary, run long, bucket int, a binary, b binary, c binary"
+#: Rows of the first pass: documents; and of runs, at bucket -1 the classes of their documents, their sizes, and their
+#: distinct keys, ids, whether an id is null, and signatures; at bucket -2 keys that many of them have and their counts, at buckets from 0 on their keys' documents and low 32 bits.
+PROFILE = "doc_id long, class binary, n int, run long, bucket int, a binary, b binary, c binary"
 
 
 def _profile(gram: int, bits: int):
@@ -69,11 +69,11 @@ def _profile(gram: int, bits: int):
 
         from auditlake.llm.shingles import U
 
-        names = ["doc_id", "class", "n", "signature", "run", "bucket", "a", "b", "c"]
-        given, sets, classes, held = set(), [], [], 0
+        names = ["doc_id", "class", "n", "run", "bucket", "a", "b", "c"]
+        given, sets, classes, ids, held = set(), [], [], [], 0
 
         def packed():
-            nonlocal sets, classes, held
+            nonlocal sets, classes, ids, held
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             key = np.concatenate(sets) >> U(32 - bits)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16), size)
@@ -83,7 +83,9 @@ def _profile(gram: int, bits: int):
             order = np.argsort(key, kind="stable")
             key, doc = key[order], doc[order]
             number = uuid.uuid4().int >> 65
-            out = [(-1, b"".join(classes), size.astype("<u4").tobytes(), np.bincount(doc, minlength=len(sets)).astype("<u4").tobytes())]
+            signs = b"".join(np.minimum(np.bincount((h & U(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 65535).astype("<u2").tobytes() for h in sets)
+            known = np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes()
+            out = [(-1, b"".join(classes), size.astype("<u4").tobytes(), b"".join([np.bincount(doc, minlength=len(sets)).astype("<u4").tobytes(), *known, signs]))]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             times = np.diff(np.concatenate([start, [len(key)]]))
             often = times >= max(8, RUN // HOT_SHARE)
@@ -94,10 +96,10 @@ def _profile(gram: int, bits: int):
             for bucket, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if j > i:
                     out.append((bucket, doc[i:j].astype("<u2").tobytes(), np.diff(low[i:j], prepend=np.uint32(0)).tobytes(), None))
-            sets, classes, held = [], [], 0
+            sets, classes, ids, held = [], [], [], 0
             for lo in range(0, len(out), 64):
                 bucket, a, b, c = zip(*out[lo : lo + 64], strict=True)
-                none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.binary(), pa.int32(), pa.binary())]
+                none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.binary(), pa.int32())]
                 yield pa.RecordBatch.from_arrays([*none, pa.array([number] * len(a), pa.int64()), pa.array(bucket, pa.int32()), *[pa.array(x, pa.binary()) for x in (a, b, c)]], names)
 
         for batch in batches:
@@ -106,24 +108,24 @@ def _profile(gram: int, bits: int):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     h = shingle_set(text, gram)
                     if not len(h):
-                        out.append((doc, None, 0, None))
+                        out.append((doc, None, 0))
                         continue
                     own = class_of(h)
-                    parts = np.minimum(np.bincount((h & U(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 65535).astype("<u2")
-                    out.append((doc, own, len(h), parts.tobytes()))
+                    out.append((doc, own, len(h)))
                     if own not in given:
                         if len(given) > 1_000_000:
                             given.clear()
                         given.add(own)  # copies within a task are counted once
                         sets.append(h)
                         classes.append(own)
+                        ids.append(doc)
                         held += len(h)
                         if held >= RUN or len(sets) >= RUN_DOCS:
                             yield from packed()
                 if out:
-                    doc, cls, n, sig = zip(*out, strict=True)
+                    doc, cls, n = zip(*out, strict=True)
                     none = [pa.nulls(len(out), t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(cls, pa.binary()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), *none], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(cls, pa.binary()), pa.array(n, pa.int32()), *none], names)
         if sets:
             yield from packed()
 
@@ -207,7 +209,7 @@ def _count_keys(batches):
 
 
 def _prefixes(percent: int):
-    """(class, n, alone, tokens): the shared part of each document's prefix, rarest first; alone shingles come before it."""
+    """(class, n, alone, doc_id, signature, tokens): the shared part of each document's prefix, rarest first; `alone` shingles come before it."""
 
     def run(batches):
         import numpy as np
@@ -216,7 +218,11 @@ def _prefixes(percent: int):
         for _, rows in _groups(batches, "run"):
             first, rest = rows[0], rows[1:]
             classes = np.frombuffer(first["a"], "V16")
-            n, kept = (np.frombuffer(first[c], "<u4").astype(np.int64) for c in "bc")
+            n = np.frombuffer(first["b"], "<u4").astype(np.int64)
+            k = len(n)
+            kept = np.frombuffer(first["c"], "<u4", k).astype(np.int64)
+            ids, null = np.frombuffer(first["c"], "<i8", k, 4 * k), np.frombuffer(first["c"], np.uint8, k, 12 * k).astype(bool)
+            signs = np.frombuffer(first["c"], f"V{2 * SIGNATURE}", k, 13 * k)
             if not rest:
                 continue
             doc = np.concatenate([np.frombuffer(r["a"], "<u2") for r in rest]).astype(np.int64)
@@ -235,19 +241,26 @@ def _prefixes(percent: int):
             own = np.flatnonzero(np.bincount(doc, minlength=len(n)))
             at = np.concatenate([np.searchsorted(doc, own), [len(doc)]]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([classes[i].tobytes() for i in own], pa.binary()), pa.array(n[own].astype(np.int32)), pa.array(alone[own].astype(np.int32)), tokens], ["class", "n", "alone", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([classes[i].tobytes() for i in own], pa.binary()), pa.array(n[own].astype(np.int32)), pa.array(alone[own].astype(np.int32)), pa.array(ids[own].astype(np.int64), mask=null[own]), pa.array([signs[i].tobytes() for i in own], pa.binary()), tokens], ["class", "n", "alone", "doc_id", "signature", "tokens"])
 
     return run
 
 
 def _sets(gram: int):
+    """(class, members) of texts whose set is that of the class; a text with the id of another one is left out."""
+
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                sets = [shingle_set(t, gram) for t in b.column(0).slice(lo, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["class", "members"])
+                part, out = b.slice(lo, 500), []
+                for number, bits, text in zip(*[part.column(c).to_pylist() for c in ("class", "bits", "text")], strict=True):
+                    h = shingle_set(text, gram)
+                    if class_of(h) == bits:
+                        out.append((number, h.tobytes()))
+                number, members = zip(*out, strict=True) if out else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(members, pa.binary())], ["class", "members"])
 
     return run
 
@@ -272,24 +285,23 @@ def components(edges: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """(node, root) for the nodes of edges (a, b) and of `first`, an earlier result: root is the smallest node reached.
 
     Labels go along edges and are then looked up themselves, so they travel fast; every round's labels are written.
-    Rows of nodes with many edges, and of roots with many nodes, are dealt to several parts.
+    Joins are of rows of two numbers with one row for each node, so adaptive execution splits those of a hub.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
     if first is not None:
         old = first.filter("node <> root")
         both = both.union(old.select("node", "root")).union(old.select("root", "node"))
     both = materialize(both.distinct(), "edges")
-    labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root"), F.count("*").alias("n")), "labels")
+    labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "labels")
     while True:
-        near = join_counted(both, labels.select(F.col("node").alias("other"), "root", "n"), "other", "node").groupBy("node").agg(F.min("root").alias("near"))
-        moved = materialize(labels.join(near, "node").select("node", "n", F.col("root").alias("old"), F.least("root", "near").alias("root")), "labels-moved")
-        sizes = moved.groupBy("root").agg(F.count("*").alias("size"))
-        jump = sizes.join(moved.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").withColumnRenamed("size", "n")
-        labels = materialize(join_counted(moved.withColumnRenamed("n", "degree"), materialize(jump, "labels-roots"), "root", "node", "left").select("node", "old", F.col("degree").alias("n"), F.least("root", "further").alias("root")), "labels")
+        seen = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))
+        moved = labels.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        labels = materialize(moved.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")), "labels")
         changed = labels.filter("old <> root").limit(1).count()
-        labels = labels.select("node", "root", "n")
+        labels = labels.select("node", "root")
         if not changed:
-            return labels.select("node", "root")
+            return labels
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -307,7 +319,7 @@ class NgramJoin:
         size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(max(int(size // BUCKET_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
         rows = materialize(self.docs.mapInArrow(_profile(self.gram, bits), PROFILE), "ngram-profile")
-        self.profiles = rows.filter("run is null").select("doc_id", "class", "n", "signature")
+        self.profiles = rows.filter("run is null").select("doc_id", "class", "n")
         self.runs = rows.filter("run is not null").select("run", "bucket", "a", "b", "c")
         #: 6 bytes of a packed shingle for about as many bytes of text
         self.parts = max(shuffle_partitions(self.spark), int(size // BUCKET_BYTES) + 1)
@@ -322,7 +334,7 @@ class NgramJoin:
         return np.array(keys, np.int64).view(np.uint64)
 
     def classes_and_prefixes(self) -> None:
-        """Writes (num, class, n, alone, tokens) of the classes whose prefix has a shared shingle; num numbers them."""
+        """Writes (num, class, n, alone, doc_id, signature, tokens) of the classes whose prefix has a shared shingle; num numbers them."""
         rows, hot = self.runs.filter("bucket >= 0"), self.hot_keys()
         back = self.runs.filter("bucket = -1")
         if len(hot):
@@ -330,7 +342,7 @@ class NgramJoin:
             back, rows = back.union(rows.filter("c is not null")), rows.filter("c is null")
         counted = rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_keys, RUN_ROWS)
         runs = back.union(counted).repartition(self.parts, "run").sortWithinPartitions("run", "bucket")
-        found = runs.mapInArrow(_prefixes(self.percent), "class binary, n int, alone int, tokens array<long>").dropDuplicates(["class"])
+        found = runs.mapInArrow(_prefixes(self.percent), "class binary, n int, alone int, doc_id long, signature binary, tokens array<long>").dropDuplicates(["class"])
         self.prefixes = materialize(found.withColumn("num", F.monotonically_increasing_id()), "ngram-prefixes")
 
     def shared_postings(self) -> DataFrame:
@@ -385,30 +397,22 @@ class NgramJoin:
 
     def needed_sets(self, postings: DataFrame) -> DataFrame:
         """(class, members): the whole sets of the classes with a shared posting, from one text of each."""
-        numbers = materialize(postings.select("class").distinct(), "ngram-open-classes")
-        known = self.prefixes.select(F.col("num").alias("class"), F.col("class").alias("bits")).join(numbers, "class", "left_semi")
-        least = self.profiles.filter("class is not null").groupBy(F.col("class").alias("bits")).agg(F.min("doc_id").alias("doc_id"))
-        known = materialize(known.join(least, "bits"), "ngram-needed")
-        ids = _small(known.select(F.col("doc_id").alias("needed")).distinct())
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("needed")), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.gram), "class binary, members binary").withColumnRenamed("class", "bits").dropDuplicates(["bits"])
-        return materialize(known.select("class", "bits").join(sets, "bits").select("class", "members"), "ngram-sets")
+        numbers = postings.select("class").distinct()
+        known = self.prefixes.select(F.col("num").alias("class"), F.col("class").alias("bits"), F.col("doc_id").alias("needed")).join(numbers, "class", "left_semi")
+        known = _small(materialize(known, "ngram-needed"))
+        texts = self.docs.join(known, F.col("doc_id").eqNullSafe(F.col("needed"))).select("class", "bits", "text")
+        return materialize(texts.mapInArrow(_sets(self.gram), "class long, members binary").dropDuplicates(["class"]), "ngram-sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs whose sets are similar enough: each pair is compared once, on its whole sets.
-
-        The side with more partners for one class is the second, whose hot classes are dealt to several parts.
-        """
-        da = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")), "ngram-degrees")
-        turned = join_counted(pairs, da, "a", "b").withColumnRenamed("n", "da")
-        db = materialize(pairs.groupBy("b").agg(F.count("*").alias("n")), "ngram-degrees")
-        turned = join_counted(turned, db, "b", "a").select(F.when(F.col("da") > F.col("n"), F.col("b")).otherwise(F.col("a")).alias("x"), F.when(F.col("da") > F.col("n"), F.col("a")).otherwise(F.col("b")).alias("y"))
-        turned = materialize(turned, "ngram-turned")
-        dx = materialize(turned.groupBy("x").agg(F.count("*").alias("n")), "ngram-degrees")
-        dy = materialize(turned.groupBy("y").agg(F.count("*").alias("n")), "ngram-degrees")
-        own = lambda degrees, key, name: degrees.join(self.sets.select(F.col("class").alias(key), F.col("members").alias(name)), key)
-        one = join_counted(turned, own(dx, "x", "set_a"), "x", "y").drop("n")
-        both = join_counted(one, own(dy, "y", "set_b"), "y", "x").select(F.col("x").alias("a"), F.col("y").alias("b"), "set_a", "set_b")
+        """Those pairs whose sets are similar enough: each pair is compared once, on its whole sets; hot classes are dealt out."""
+        total = pairs.count()
+        if not total:
+            return pairs
+        both = pairs
+        for key, other, name in (("a", "b", "set_a"), ("b", "a", "set_b")):
+            degrees = pairs.groupBy(key).agg(F.count("*").alias("n"))
+            members = degrees.join(self.sets.select(F.col("class").alias(key), F.col("members").alias(name)), key)
+            both = join_counted(both, members, key, other, total=total, heavy=degrees).drop("n")
         return materialize(both.mapInArrow(_verify(self.percent), "a long, b long"), "ngram-links")
 
     def roots(self) -> DataFrame:
@@ -420,27 +424,31 @@ class NgramJoin:
         """
         self.classes_and_prefixes()
         left = self.shared_postings()
-        signatures = self.profiles.filter("class is not null").groupBy(F.col("class").alias("bits")).agg(F.first("signature").alias("signature"))
-        self.classes = materialize(self.prefixes.select(F.col("num").alias("class"), F.col("class").alias("bits")).join(signatures, "bits").select("class", "signature"), "ngram-classes")
+        self.classes = self.prefixes.select(F.col("num").alias("class"), "signature")
         self.sets = self.needed_sets(left)
-        left, labels, tested, star = left.withColumn("root", F.col("class")), None, None, 0
+        left, labels, tested, star, last = left.withColumn("root", F.col("class")), None, None, 0, False
         while True:
-            by_token = left.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-            by_token = materialize(by_token.select("token", "n"), "ngram-open")
-            left = materialize(join_counted(left, by_token, "token", "class").drop("n"), "ngram-open-rows")
-            same = left.groupBy("token", "root").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
-            rows, square = by_token.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
-            if not rows:
-                break
-            last = star >= 1 and (square - same) / 2 <= PAIRS_PER_ROW * rows or star >= STAR_ROUNDS
+            if star:  # in the first round all tokens are open
+                by_token = left.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+                by_token = materialize(by_token.select("token", "n"), "ngram-open")
+                rows, square = by_token.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+                if not rows:
+                    break
+                left = materialize(join_counted(left, by_token, "token", "class", total=rows).drop("n"), "ngram-open-rows")
+                same = left.groupBy("token", "root").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
+                last = last or (square - same) / 2 <= PAIRS_PER_ROW * rows or star >= STAR_ROUNDS
             pairs = self.candidates(left, tested, None if last else star)
             tested = pairs if tested is None else tested.union(pairs)
-            labels = components(self.verified(pairs), labels)
+            links = self.verified(pairs)
+            found = links.limit(1).count()
+            if found:
+                labels = components(links, labels)
             if last:
                 break
-            known = _small(labels.filter("node <> root").select(F.col("node").alias("class"), F.col("root").alias("_root")))
-            left = left.join(known, "class", "left").withColumn("root", F.coalesce("_root", "class")).drop("_root")
-            star += 1
+            if found:
+                known = _small(labels.filter("node <> root").select(F.col("node").alias("class"), F.col("root").alias("moved")))
+                left = left.withColumnRenamed("root", "old").join(known, "class", "left").withColumn("root", F.coalesce("moved", "class")).drop("old", "moved")
+            star, last = star + 1, not found
         return labels if labels is not None else self.spark.createDataFrame([], "node long, root long")
 
     def result(self) -> DataFrame:
