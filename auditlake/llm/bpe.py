@@ -15,9 +15,9 @@ from auditlake.llm.pieces import batches_of, encode_texts, packed, split_pieces,
 #: Words with at least one of so many occurrences are in the corpus's dictionary, so it has at most so many words.
 SHARE = 500_000
 #: Bytes of words whose merges are replayed together.
-REPLAY_BYTES = 1 << 19
+REPLAY_BYTES = 1 << 18
 #: Bytes of text that a task works on together.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 
 
 class MergeReplay:
@@ -45,7 +45,7 @@ class MergeReplay:
         key = a << 20 | b
         rank = self.pairs.get(key)
         if rank is None:
-            if len(self.pairs) > 300_000:
+            if len(self.pairs) > 150_000:
                 self.pairs.clear()
             rank = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return rank

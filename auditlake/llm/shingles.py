@@ -14,7 +14,7 @@ class WordHashes(dict):
     """64-bit hashes by word, bounded; dict lookups fill it."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
