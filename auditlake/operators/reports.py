@@ -73,7 +73,10 @@ def register(d: Domain) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.option("header", True).option("lineSep", "\r\n").option("encoding", "UTF-8").csv(path)
+    """Rows as CSV files that spreadsheets open as UTF-8: each file's header begins with a byte order mark. Texts are made safe."""
+    cells = [safe_cell(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in rows.schema]
+    marked = rows.select(*cells).withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    marked.write.option("header", True).option("lineSep", "\r\n").option("encoding", "UTF-8").csv(path)
 
 
 def page(d: Domain, number: int, size: int = 50) -> DataFrame:
