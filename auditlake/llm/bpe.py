@@ -9,7 +9,7 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import materialize, shuffle_partitions
+from auditlake.llm.common import materialize, shuffle_partitions, tidy
 from auditlake.llm.pieces import batches_of, encode_texts, packed, split_pieces, untouched, without_marks
 
 #: Words with at least one of so many occurrences are in the corpus's dictionary, so it has at most so many words.
@@ -17,7 +17,7 @@ SHARE = 500_000
 #: Bytes of words whose merges are replayed together.
 REPLAY_BYTES = 1 << 18
 #: Bytes of text that a task works on together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 
 
 class MergeReplay:
@@ -191,7 +191,7 @@ def common_words(texts: DataFrame, vocabulary: str, pattern: str, share: int = S
     Words are counted over the whole corpus by a shuffle, and each is replayed once, in shards of words. ids are those
     of the word with a space before it, as little-endian 32-bit integers.
     """
-    counts = materialize(texts.mapInArrow(_count_pieces, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    counts = materialize(texts.mapInArrow(tidy(_count_pieces), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
 
     def run(batches):
@@ -203,7 +203,7 @@ def common_words(texts: DataFrame, vocabulary: str, pattern: str, share: int = S
                 yield pa.RecordBatch.from_arrays([b.column(0), ids.cast(pa.binary())], ["word", "ids"])
 
     often = counts.filter(F.col("n") >= max(2, -(-total // share))).select("word").repartition(shuffle_partitions(texts.sparkSession))
-    return materialize(often.mapInArrow(run, "word string, ids binary"), "bpe-dictionary")
+    return materialize(often.mapInArrow(tidy(run), "word string, ids binary"), "bpe-dictionary")
 
 
 def _encoded(texts: DataFrame, vocabulary: str, pattern: str):
@@ -239,7 +239,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                 ids, at = encoded(some.column(1))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(at.astype("int32")), pa.array(ids))], ["doc_id", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,4 +269,4 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
                 ids, at = encoded(some.column(1))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(at)), pa.array(digests(decimals, ids, at, 1)), pa.array(digests(tokens, ids, at, 0))], names)
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

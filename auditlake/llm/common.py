@@ -49,6 +49,23 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def tidy(run):
+    """A mapInArrow function that gives unused memory back to the system when a task ends; workers live on for later stages."""
+
+    def whole(batches):
+        import contextlib
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")

@@ -14,14 +14,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import free_name, join_counted, materialize, shuffle_partitions
+from auditlake.llm.common import free_name, join_counted, materialize, shuffle_partitions, tidy
 
 GRAM, PERCENT = 4, 85
 #: Tables of numbers of at most so many rows (some 10 MB) are broadcast; larger ones are joined by a shuffle.
 SMALL_ROWS = 500_000
 SIGNATURE = 16
 #: Shingles, and documents, that a task works on together.
-RUN, RUN_DOCS = 2_000_000, 60_000
+RUN, RUN_DOCS = 1_000_000, 60_000
 #: Bytes of text for each bucket of the hash space, and the least and most bits of buckets.
 BUCKET_BYTES, LEAST_BITS, MOST_BITS = 32 << 20, 8, 18
 #: Shingles with at least HOT_ROWS documents and 1 of HOT_SHARE of all shingles, at most HOT_SHARE in number, come last
@@ -318,7 +318,7 @@ class NgramJoin:
     def profile(self) -> None:
         size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(max(int(size // BUCKET_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
-        rows = materialize(self.docs.mapInArrow(_profile(self.gram, bits), PROFILE), "ngram-profile")
+        rows = materialize(self.docs.mapInArrow(tidy(_profile(self.gram, bits)), PROFILE), "ngram-profile")
         self.profiles = rows.filter("run is null").select("doc_id", "class", "n")
         self.runs = rows.filter("run is not null").select("run", "bucket", "a", "b", "c")
         #: 6 bytes of a packed shingle for about as many bytes of text
@@ -340,9 +340,9 @@ class NgramJoin:
         if len(hot):
             rows = materialize(rows.mapInArrow(_without(self.spark.sparkContext.broadcast(hot)), RUN_ROWS), "ngram-hot")
             back, rows = back.union(rows.filter("c is not null")), rows.filter("c is null")
-        counted = rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_keys, RUN_ROWS)
+        counted = rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_count_keys), RUN_ROWS)
         runs = back.union(counted).repartition(self.parts, "run").sortWithinPartitions("run", "bucket")
-        found = runs.mapInArrow(_prefixes(self.percent), "class binary, n int, alone int, doc_id long, signature binary, tokens array<long>").dropDuplicates(["class"])
+        found = runs.mapInArrow(tidy(_prefixes(self.percent)), "class binary, n int, alone int, doc_id long, signature binary, tokens array<long>").dropDuplicates(["class"])
         self.prefixes = materialize(found.withColumn("num", F.monotonically_increasing_id()), "ngram-prefixes")
 
     def shared_postings(self) -> DataFrame:
@@ -401,7 +401,7 @@ class NgramJoin:
         known = self.prefixes.select(F.col("num").alias("class"), F.col("class").alias("bits"), F.col("doc_id").alias("needed")).join(numbers, "class", "left_semi")
         known = _small(materialize(known, "ngram-needed"))
         texts = self.docs.join(known, F.col("doc_id").eqNullSafe(F.col("needed"))).select("class", "bits", "text")
-        return materialize(texts.mapInArrow(_sets(self.gram), "class long, members binary").dropDuplicates(["class"]), "ngram-sets")
+        return materialize(texts.mapInArrow(tidy(_sets(self.gram)), "class long, members binary").dropDuplicates(["class"]), "ngram-sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those pairs whose sets are similar enough: each pair is compared once, on its whole sets; hot classes are dealt out."""
@@ -413,7 +413,7 @@ class NgramJoin:
             degrees = pairs.groupBy(key).agg(F.count("*").alias("n"))
             members = degrees.join(self.sets.select(F.col("class").alias(key), F.col("members").alias(name)), key)
             both = join_counted(both, members, key, other, total=total, heavy=degrees).drop("n")
-        return materialize(both.mapInArrow(_verify(self.percent), "a long, b long"), "ngram-links")
+        return materialize(both.mapInArrow(tidy(_verify(self.percent)), "a long, b long"), "ngram-links")
 
     def roots(self) -> DataFrame:
         """(node, root) of the classes that link with another class.

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import free_name, join_counted, materialize, py_words, shuffle_partitions
+from auditlake.llm.common import free_name, join_counted, materialize, py_words, shuffle_partitions, tidy
 
 WINDOW = 50
 #: Words of the phrases that stand for a passage; every window has the smallest hash of its phrases in common with its copies.
@@ -173,7 +173,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and rows with a null id, have no row.
     """
     rows = _keyed(docs, id_col, text_col).filter("doc_id is not null")
-    profile = materialize(rows.mapInArrow(_phrases(window, phrase), "doc_id long, fp long, n_words long, whole binary, phrases array<long>"), "phrases")
+    profile = materialize(rows.mapInArrow(tidy(_phrases(window, phrase)), "doc_id long, fp long, n_words long, whole binary, phrases array<long>"), "phrases")
     # whole copies: all windows of a text start in its first copy too
     copies = profile.filter("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = materialize(copies, "whole-copies")
@@ -194,7 +194,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = materialize(texts.select("doc_id", "fp", "text", "shards", "firsts"), "phrase-documents")
     # the automata, and the documents that stream through them
     own = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("own")
-    phrases = texts.filter(F.size("firsts") > 0).select(own, "text", "firsts").mapInArrow(_phrase_texts(phrase), "shard int, phrase binary").distinct()
+    phrases = texts.filter(F.size("firsts") > 0).select(own, "text", "firsts").mapInArrow(tidy(_phrase_texts(phrase)), "shard int, phrase binary").distinct()
     streams = texts.select("doc_id", "fp", "text", F.explode("shards").alias("shard"))
     met = streams.groupBy("shard").agg(F.count("*").alias("n"))
     total = met.agg(F.sum("n")).first()[0] or 0
@@ -203,7 +203,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     phrases = phrases.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "phrase", *[F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("fp", "long"), ("text", "string"))])
     n = max(shuffle_partitions(docs.sparkSession), shards)
     dealt = phrases.unionByName(streams).repartition(n, "shard", "part").sortWithinPartitions("shard", "part", F.col("phrase").isNull())
-    lists = materialize(dealt.mapInArrow(_windows(window, phrase), "doc_id long, fp long, starts array<int>, h1 array<long>, h2 array<long>"), "windows")
+    lists = materialize(dealt.mapInArrow(tidy(_windows(window, phrase)), "doc_id long, fp long, starts array<int>, h1 array<long>, h2 array<long>"), "windows")
     # confirm: whole windows, by 128 bits of hash
     each = lists.select("doc_id", "fp", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("doc_id", "fp", "w.*")
     first = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("first < hi")
@@ -255,7 +255,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.select("doc_id", "text", begins_at, ends_at).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", begins_at, ends_at).mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -281,4 +281,4 @@ def strip_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own[at] = pa.array(texts, own[at].type)
             yield pa.RecordBatch.from_arrays(own, columns)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(tidy(run), docs.schema)
