@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, chat, decontaminate, html_text, ngram_join, quality, sharding, substrings, token_orc, warc
+from auditlake.llm import bpe, chat, decontaminate, html_text, ngram_join, quality, repair, sharding, substrings, token_orc, trie, vantage, warc
 from auditlake.llm.common import materialize, read
 
 END_ID = 2
@@ -60,17 +60,110 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(read(spark, sf_dir, "documents"))
 
 
+def op11_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(read(spark, sf_dir, "conversations")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.of_rebuilt(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_orc, op3_warc, op4_chat, op5_sharding, op6_quality, op7_bpe, op8_substrings, op9_decontamination, op10_ngram_join, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_orc, op3_warc, op4_chat, op5_sharding, op6_quality, op7_bpe, op8_substrings, op9_decontamination, op10_ngram_join, op11_vantage_neighbours, op12_conversation_repair, op13_prefix_trie, pipeline)}
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
+
+def _crc32(key: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text, bit by bit."""
+    c = f"CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr({key}, (i // 8 + 1)::BIGINT, 1))::BIGINT) ELSE c END"
+    return f"xor(list_reduce(range(8 * length({key})), lambda c, i: xor(({c}) >> 1, CASE WHEN (({c}) & 1) = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT), 4294967295)"
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "''") -> str:
+    """A state {c, a, t} after an edit: t is the repaired text, each line with a line feed before it."""
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _repair_step() -> str:
+    """One step of a fold over rows, each of which comes twice: first (n = 0) insertions before it, then its own edit. s: the four states start, s, u, a."""
+    at = [f"s[{i}]" for i in range(1, 5)]
+    added = [_edit(x, "3", "I", f"chr(10) || '{r}:'") for x, r in zip(at, ("user", "user", "assistant", "user"), strict=True)]
+    user = _least(at[2], added[0], added[1], added[3])
+    inserted = f"[{at[0]}, {at[1]}, {user}, {_least(at[3], _edit(user, '3', 'I', "chr(10) || 'assistant:'"))}]"
+    extra, must = "CASE WHEN x.fault = 't' THEN 3 ELSE 0 END", "CASE WHEN x.fault IN ('b', 'd') THEN 1000000 ELSE 0 END"
+    deleted = [_edit(x, "4", "D") for x in at]
+    keep = lambda i, initial: _edit(at[i], f"{extra} + {must} + CASE WHEN x.initial = '{initial}' THEN 0 ELSE 1000000 END", "K", "chr(10) || x.role || ':' || x.text")
+    rerole = lambda i, role: _edit(at[i], f"3 + {extra} + {must}", "R", f"chr(10) || '{role}:' || x.text")
+    edited = [
+        deleted[0],
+        _least(deleted[1], keep(0, "s")),
+        _least(deleted[2], *(f(i, r) for i in (0, 1, 3) for f, r in ((keep, "u"), (rerole, "user")))),
+        _least(deleted[3], keep(2, "a"), rerole(2, "assistant")),
+    ]
+    return f"CASE WHEN x.n = 0 THEN {inserted} ELSE [{', '.join(edited)}] END"
+
+
+BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+NO_STATE = "{'c': 1000000::BIGINT, 'a': '', 't': ''}"
+#: A fold of one row less: the last insertions are added after it.
+LAST = f"list_concat(rows, [{{'n': 0, 'fault': '', 'initial': '', 'role': '', 'text': ''}}])"
+
 ORACLE = {
+    "op11_vantage_neighbours": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q, v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20""",
+    "op12_conversation_repair": f"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+d AS (SELECT *, {_crc32("k")} % 20 AS kind FROM k),
+r AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM d, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth, rtrim(text, {BLANK_CHARS}) AS body, left(role, 1) AS initial FROM o),
+g AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(body, 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM f),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+  count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  list({{'n': n, 'fault': fault, 'initial': initial, 'role': role, 'text': text}} ORDER BY pos, n) AS rows
+  FROM g, (SELECT unnest([0, 1]) AS n) GROUP BY conv_id),
+e AS (SELECT *, list_reduce({LAST}, lambda s, x: {_repair_step()}, [{{'c': 0::BIGINT, 'a': '', 't': ''}}, {NO_STATE}, {NO_STATE}, {NO_STATE}]) AS s FROM c),
+b AS (SELECT *, list_min([s[1], s[4]]) AS b FROM e)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank // 2, 0)::BIGINT AS blank, coalesce(duplicate // 2, 0)::BIGINT AS duplicate, coalesce(truncated // 2, 0)::BIGINT AS truncated,
+  coalesce(illegal // 2, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id AS id, * EXCLUDE (conv_id) FROM b) ON conv_id IS NOT DISTINCT FROM id""",
+    "op13_prefix_trie": f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+h AS (SELECT conv_id, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+own AS (SELECT h.conv_id, pos, role, text FROM h JOIN n ON n.conv_id = h.conv_id AND pos > h UNION ALL
+  SELECT h.conv_id, pos, role, text FROM h JOIN n ON n.conv_id = h.conv_id - h.conv_id % 5 AND pos <= h),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, sha256(hex(role) || ':' || text) AS same, strlen(text) AS bytes FROM own),
+a AS (SELECT conv_id, list(same ORDER BY depth) AS path, list(bytes ORDER BY depth) AS sizes FROM p GROUP BY conv_id),
+m AS (SELECT h.conv_id, coalesce(path, []) AS path, coalesce(sizes, []) AS sizes FROM h LEFT JOIN a USING (conv_id)),
+x AS (SELECT conv_id, unnest(range(0, len(path) + 1)) AS depth, path, sizes FROM m),
+k AS (SELECT conv_id, depth, CASE WHEN depth = 0 THEN '' ELSE md5(array_to_string(path[1:depth], ',')) END AS key, CASE WHEN depth < 2 THEN '' ELSE md5(array_to_string(path[1:depth - 1], ',')) END AS up,
+  CASE WHEN depth = 0 THEN 0 ELSE sizes[depth] END AS bytes, depth = len(path) AS ended FROM x),
+g AS (SELECT depth, key, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ended), '') AS ends FROM k GROUP BY depth, key),
+c AS (SELECT depth - 1 AS depth, up AS key, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN c USING (depth, key)),
+s AS (SELECT k.depth, k.key, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((w.n_convs - 1) * w.bytes) AS saved FROM w JOIN k ON k.conv_id = w.conv_id AND k.depth <= w.depth GROUP BY ALL)
+SELECT w.conv_id, w.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN s USING (depth, key) LEFT JOIN w o ON o.depth = w.depth - 1 AND o.key = w.up AND w.depth > 0""",
     "op3_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
