@@ -17,15 +17,10 @@ def _fields(d: Domain):
     return documents.parsed_fields(documents.tokens_of(d))
 
 
-def _pages(d: Domain):
-    return d.read("documents").select("doc_id", "text", (F.col("doc_id") % 10 / 10).alias("coverage"))
-
-
 QUERIES = {
     "document_lines": _domain(lambda d: documents.line_texts(documents.tokens_of(d)).select("doc_id", "line", "text", "rtl", "is_ocr", F.round("confidence", 2).alias("confidence"), F.round("y1", 3).alias("bottom"))),
     "parsed_fields": _domain(_fields),
     "totals_reconcile": _domain(lambda d: documents.totals_reconcile(_fields(d).filter("value is not null"))),
-    "page_routes": _domain(lambda d: documents.page_routes(_pages(d))),
     "merged_fields": _domain(lambda d: documents.merged_fields(_fields(d).filter("value is not null"), documents.printed_sources(d))),
     "xml_source_comparison": _domain(lambda d: documents.confirmed_sources(d, "XML")),
     "qr_source_comparison": _domain(lambda d: documents.confirmed_sources(d, "QR")),
@@ -57,9 +52,6 @@ ORACLE = {
     "document_lines": V + f", {PRINTED}, {LINES}, w AS (SELECT *, len(string_split(label || ' ' || value, ' ')) AS n FROM pl0) SELECT id AS doc_id, line::INTEGER AS line, label || ' ' || value AS text, regexp_matches(label, '[؀-ۿ]') AS rtl, true AS is_ocr, round(0.95 - 0.01 * (n - 1), 2)::DOUBLE AS confidence, round(0.05 + 0.06 * line + 0.001 * least(n - 1, 2) + 0.02, 3)::DOUBLE AS bottom FROM w",
     "parsed_fields": V + f", {PRINTED}, {READ} SELECT id AS doc_id, field, value, confidence::DOUBLE AS confidence, warning FROM rd",
     "totals_reconcile": V + f", {PRINTED} SELECT id AS doc_id, true AS reconciled FROM pt WHERE id % 7 <> 0",
-    "page_routes": """WITH p AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 10 / 10 AS coverage FROM documents),
-r AS (SELECT doc_id, CASE WHEN coverage >= 0.55 THEN 'MAINLY_SCANNED' WHEN t = '' THEN 'NO_SEARCHABLE_TEXT' WHEN (length(t) - length(regexp_replace(t, '[\\x{FFFD}\\p{Co}\\p{Cc}\\p{Cs}]', '', 'g'))) / length(t) > 0.05 OR NOT regexp_matches(t, '[\\p{L}\\p{N}]') THEN 'UNUSABLE_TEXT' ELSE 'SEARCHABLE_TEXT' END AS reason FROM p)
-SELECT doc_id, CASE WHEN reason = 'SEARCHABLE_TEXT' THEN 'PDF_TEXT' ELSE 'OCR' END AS route, reason FROM r""",
     "merged_fields": V + f""", {PRINTED}, {READ}, {SOURCES}, t AS (SELECT id, field, count(DISTINCT CASE WHEN field = 'grand_total' THEN value::DECIMAL(22,4)::VARCHAR ELSE {KEY.format(c='value')} END) AS n, arg_min(value, CASE WHEN kind = 'XML' THEN 0 ELSE 1 END) AS taken FROM so GROUP BY ALL),
 r AS (SELECT id, field, value FROM rd WHERE value IS NOT NULL), j AS (SELECT coalesce(r.id, t.id) AS id, coalesce(r.field, t.field) AS field, value, n, taken FROM r FULL JOIN t ON r.id = t.id AND r.field = t.field)
 SELECT id AS doc_id, field, CASE WHEN n > 1 THEN NULL ELSE coalesce(taken, value) END AS value, CASE WHEN n > 1 THEN 'STRUCTURED_SOURCE_CONFLICT_' || upper(field) WHEN value <> taken THEN 'VISIBLE_TEXT_CONFLICT_' || upper(field) END AS warning FROM j""",

@@ -27,7 +27,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="auditlake-")
+        folder = getattr(spark, "_auditlake_written", None) or tempfile.mkdtemp(prefix="auditlake-")
+        spark._auditlake_written = folder
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,10 @@ from auditlake.functions import parse
 from auditlake.operators import documents
 
 
+#: Tokens as documents.line_texts() takes them.
+TOKEN = "doc_id long, page int, text string, source string, confidence double, x0 double, y0 double, x1 double, y1 double"
+
+
 def one(spark, f, *values):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     return [r.x for r in rows.select("i", f(F.col("v")).alias("x")).orderBy("i").collect()]
@@ -41,7 +45,7 @@ def test_clean(spark):
 def test_lines_of_tokens(spark):
     token = lambda text, x, y, source="OCR": (1, 1, text, source, 0.9, x, y, x + 0.05, y + 0.02)
     rows = [token("Total", 0.1, 0.500), token("due:", 0.2, 0.503), token("5.00", 0.5, 0.497), token("رقم", 0.9, 0.1), token("الفاتورة", 0.8, 0.1), token("A-1", 0.6, 0.1), token("next", 0.1, 0.53), token("total", 0.1, 0.7), token("due", 0.2, 0.7), token("6.00", 0.3, 0.7)]
-    tokens = spark.createDataFrame(rows, documents.TOKEN)
+    tokens = spark.createDataFrame(rows, TOKEN)
     assert sorted(r.text for r in documents.line_texts(tokens).collect()) == sorted(["رقم الفاتورة A-1", "Total due: 5.00", "next", "total due 6.00"])
     got = {r.field: (r.value, r.warning) for r in documents.parsed_fields(tokens).collect()}
     assert got == {"invoice_number": ("A-1", None), "grand_total": (None, "AMBIGUOUS_GRAND_TOTAL")}
@@ -50,7 +54,7 @@ def test_lines_of_tokens(spark):
 def test_one_letter_of_a_long_arabic_label_may_be_wrong_on_scans_only(spark):
     for source, want in (("OCR", {"invoice_number": "APPROXIMATE_LABEL_INVOICE_NUMBER"}), ("PDF_TEXT", {})):
         rows = [(1, 1, w, source, 0.9, 0.9 - 0.1 * i, 0.1, 0.95 - 0.1 * i, 0.12) for i, w in enumerate(["رقم", "الفاتور", "A-1"])]
-        assert {r.field: r.warning for r in documents.parsed_fields(spark.createDataFrame(rows, documents.TOKEN)).collect()} == want
+        assert {r.field: r.warning for r in documents.parsed_fields(spark.createDataFrame(rows, TOKEN)).collect()} == want
 
 
 def test_rows_add_up(spark):
