@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,7 +14,7 @@ from auditlake.functions.text import DIGITS
 
 #: Marks of decimals and thousands beside digits, what is left out of a line, and currencies.
 MARKS = {"٫": ".", "٬": ","}
-LEFT_OUT = r"[ً-ٰٟـ‎‏‪-‮]"
+LEFT_OUT = r"[\u064b-\u065f\u0670\u0640\u200e\u200f\u202a-\u202e]"
 CURRENCIES = ("SAR", "AED", "USD", "EUR")
 #: Characters around a value or label that do not belong to it.
 EDGES = " :.#"
@@ -41,37 +42,51 @@ def one_edit_apart(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) == 1
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is worked out once however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+#: A number with and without marks of thousands, and a day in two forms, after a time of day is left out.
+GROUPED, NUMBER = r"^\d{1,3}(,\d{3})+(\.\d{1,4})?$", r"^\d{1,18}(\.\d{1,4})?$"
+ISO_DAY, SLASHED_DAY, TIME = r"^\d{4}-\d{2}-\d{2}$", r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", r"[ T]\d{2}:\d{2}(:\d{2})?$"
+#: What a document's number looks like, and the lengths of a name.
+DOCUMENT_NUMBER, NAME = r"^[A-Za-z0-9][A-Za-z0-9/_-]{0,99}$", (2, 200)
+
+
 def amount(c: Column, percentage: bool = False) -> Column:
     """A number as text, its places kept; null unless commas stand at thousands. A percent sign only where one is meant."""
-    text = F.trim(F.regexp_replace(c, "[%٪]", ""))
-    text = F.trim(F.regexp_replace(text, r"(?i)\b(" + "|".join(CURRENCIES) + r")\b", ""))
-    grouped = text.contains(",")
-    text = F.when(~grouped, text).when(text.rlike(r"^\d{1,3}(,\d{3})+(\.\d{1,4})?$"), F.replace(text, F.lit(","), F.lit("")))
-    value = F.when(text.rlike(r"^\d{1,18}(\.\d{1,4})?$"), F.regexp_replace(text, r"^0+(?=\d)", ""))
+    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(c, "[%٪]", "")), r"(?i)\b(" + "|".join(CURRENCIES) + r")\b", ""))
+    plain = let(bare, lambda t: F.when(~t.contains(","), t).when(t.rlike(GROUPED), F.replace(t, F.lit(","), F.lit(""))))
+    value = let(plain, lambda t: F.when(t.rlike(NUMBER), F.regexp_replace(t, r"^0+(?=\d)", "")))
+    digits = c.rlike(r"\d")
     if percentage:
-        return F.when(value.try_cast("decimal(22,4)") <= 100, value)
-    return F.when(~c.rlike("[%٪]"), value)
+        return F.when(digits, let(value, lambda v: F.when(v.try_cast("decimal(22,4)") <= 100, v)))
+    return F.when(digits & ~c.rlike("[%٪]"), value)
 
 
 def day(c: Column) -> Column:
     """A date: year-month-day, or day and month in the order that only one of them allows; a time of day is left out."""
-    text = F.regexp_replace(c, r"[ T]\d{2}:\d{2}(:\d{2})?$", "")
-    part = lambda i: F.regexp_extract(text, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", i).try_cast("int")
-    a, b, year = part(1), part(2), part(3)
-    built = lambda m, d: F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, m, d), F.lit("yyyy-MM-dd")).cast("date")
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
-    return F.coalesce(iso, F.when((a > 12) | (a == b), built(b, a)).when(b > 12, built(a, b)))
+    date = lambda t: F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("date")
+
+    def slashed(p: Column) -> Column:
+        a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        built = lambda m, d: date(F.concat_ws("-", F.get(p, F.lit(2)), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+        return F.when((a.cast("int") > 12) | (a.cast("int") == b.cast("int")), built(b, a)).when(b.cast("int") > 12, built(a, b))
+
+    read = lambda t: F.when(t.rlike(ISO_DAY), date(t)).when(t.rlike(SLASHED_DAY), let(F.split(t, "[/-]"), slashed))
+    return F.when(c.rlike(r"^\d{1,4}[/-]\d"), let(F.regexp_replace(c, TIME, ""), read))
 
 
 def field_value(field: Column, c: Column) -> Column:
     """The value of a field from the line after its label, null where it is not of the field's kind."""
-    text = F.btrim(c, F.lit(EDGES))
-    return (
-        F.when(field.isin("subtotal", "tax_total", "grand_total"), amount(text))
+    return let(
+        F.btrim(c, F.lit(EDGES)),
+        lambda text: F.when(field.isin("subtotal", "tax_total", "grand_total"), amount(text))
         .when(field == "currency", F.when(F.upper(text).isin(*CURRENCIES), F.upper(text)))
         .when(field == "invoice_date", day(text).cast("string"))
-        .when(field == "invoice_number", F.when(text.rlike(r"^[A-Za-z0-9][A-Za-z0-9/_-]{0,99}$"), text))
-        .otherwise(F.when(F.length(text).between(2, 200), text))
+        .when(field == "invoice_number", F.when(text.rlike(DOCUMENT_NUMBER), text))
+        .otherwise(F.when(F.length(text).between(*NAME), text)),
     )
 
 
