@@ -95,6 +95,25 @@ def clean(c: Column, most: int = 500) -> Column:
     return F.nullif(F.substring(F.trim(F.regexp_replace(F.replace(c, F.lit("\x00"), F.lit("")), r"\s+", " ")), 1, most), F.lit(""))
 
 
+def decimal_text(c: Column) -> Column:
+    """A number from a structured source: digits and up to four places, without sign, exponent or marks; null otherwise."""
+    return let(clean(c, 80), lambda t: F.when(t.rlike(NUMBER), F.regexp_replace(t, r"^0+(?=\d)", "")))
+
+
+#: Fixed value: a day and time of a structured source.
+TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2}(:?\d{2})?)?$"
+
+
+def iso_timestamp(c: Column) -> Column:
+    """A day and time as text, with a T between them; null unless both exist."""
+    return let(clean(c, 80), lambda t: F.when(t.rlike(TIMESTAMP) & F.replace(t, F.lit(","), F.lit(".")).try_cast("timestamp").isNotNull(), t))
+
+
+def iso_date(c: Column) -> Column:
+    """A day as text; null unless it exists."""
+    return let(clean(c, 40), lambda t: F.when(t.rlike(ISO_DAY) & t.try_cast("date").isNotNull(), t))
+
+
 def row_is_consistent(quantity: Column, price: Column, discount: Column, rate: Column, total: Column) -> Column:
     """Whether a line's total is what its parts make, to two hundredths."""
     made = (quantity * price - discount) * (1 + rate / 100)

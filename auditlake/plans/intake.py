@@ -41,9 +41,10 @@ f AS (SELECT user_id, i, t AS last, 1::BIGINT AS admitted, 0::BIGINT AS refused
     refused + CASE WHEN t - last < {COOL_DOWN}000000 THEN 1 ELSE 0 END FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1)
 SELECT user_id, admitted, refused FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""",
     "ubl_xml_lines": V
-    + f"SELECT id AS invoice_id, id::VARCHAR AS document_number, position::INTEGER AS position, 'PCE' AS unit_code, {q4('q', 'quantity')}, {p4('price', 'unit_price')}, {m('net', 'net_amount')}, {m('disc', 'discount_amount')} FROM it",
+    + f"""SELECT id AS invoice_id, lower(number) AS document_number, position::INTEGER AS position, 'Part ' || part AS description, 'PCE' AS unit_code, {q4('q', 'quantity')}, {p4('price', 'unit_price')}, tp::DECIMAL(7,4) AS tax_rate, {m('net', 'net_amount')},
+  {m('CASE WHEN (id + position) % 31 <> 3 THEN disc END', 'discount_amount')} FROM it JOIN (SELECT id, number FROM hd) USING (id) WHERE (id + position) % 29 NOT IN (1, 2)""",
     "tlv_fields": V
-    + """SELECT id, 'Supplier ' || supplier_id AS seller, lpad(supplier_id::VARCHAR, 15, '3') AS tax_number, invoice_date::VARCHAR || 'T00:00:00Z' AS issued_at,
-  (total::DECIMAL(30,2) * 0.01::DECIMAL(3,2))::DECIMAL(22,2)::VARCHAR AS total, (tax::DECIMAL(30,2) * 0.01::DECIMAL(3,2))::DECIMAL(22,2)::VARCHAR AS tax_total
-FROM inv WHERE invoice_date IS NOT NULL AND total IS NOT NULL AND supplier_id IS NOT NULL""",
+    + """SELECT id, coalesce(s_name, 'Unknown') AS seller, lpad(inv.supplier_id::VARCHAR, 15, '3') AS tax_number, invoice_date::VARCHAR || 'T00:00:00Z' AS issued_at,
+  ((total + CASE WHEN id % 9 = 0 THEN 500 ELSE 0 END)::DECIMAL(30,2) * 0.01::DECIMAL(3,2))::DECIMAL(22,2)::VARCHAR AS total, (tax::DECIMAL(30,2) * 0.01::DECIMAL(3,2))::DECIMAL(22,2)::VARCHAR AS tax_total
+FROM inv LEFT JOIN supplier ON s_suppkey = inv.supplier_id WHERE invoice_date IS NOT NULL AND total IS NOT NULL AND inv.supplier_id IS NOT NULL AND id % 23 NOT BETWEEN 1 AND 7""",
 }

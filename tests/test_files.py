@@ -33,7 +33,7 @@ def test_csv_has_a_mark_and_safe_cells(spark, tmp_path):
 
 
 def test_xml_limits(spark):
-    line = "<InvoiceLine><ID>1</ID></InvoiceLine>"
+    line = "<InvoiceLine><ID>1</ID><InvoicedQuantity>1</InvoicedQuantity><Item><Name>x</Name></Item><Price><PriceAmount>2</PriceAmount></Price></InvoiceLine>"
     docs = {"ok": f"<?xml version='1.0'?><!-- x --><Invoice>{line * 150}</Invoice>", "inside": f"<a><Invoice>{line}</Invoice></a>", "many": "<Invoice>" + "<b/>" * 20_001 + line + "</Invoice>", "type": f"<!DOCTYPE x><Invoice>{line}</Invoice>"}
     rows = spark.createDataFrame(list(docs.items()), "id string, xml string")
     assert {r.id: r["count"] for r in structured.xml_lines(rows, "id", "xml").groupBy("id").count().collect()} == {"ok": 100}
