@@ -10,7 +10,7 @@ from auditlake.sources.tables import COUNTED, SUBMITTED, Domain
 
 WARNING, PASS, NOT_CHECKED = "WARNING", "PASS", "NOT_CHECKED"
 #: The weight of each check in the risk score.
-WEIGHTS = {"DOCUMENT_SUBTOTAL": 6, "DOCUMENT_TAX_TOTAL": 8, "DOCUMENT_GRAND_TOTAL": 10, "EXACT_FILE_DUPLICATE": 25, "POTENTIAL_DUPLICATE": 20, "HISTORICAL_PRICE_ANOMALY": 15, "REGIONAL_SUPPLIER_PRICE": 15, "SUPPLIER_VERIFICATION": 10, "RELATED_FINANCIAL_DOCUMENT": 15, "PURCHASE_ORDER_HEADER": 8, "PURCHASE_ORDER_LINES": 12, "GOODS_RECEIPT_MATCH": 12, "SPLIT_INVOICE": 25, "PROJECT_BUDGET_RELEVANCE": 10, "PROJECT_BUDGET_CAPACITY": 20}
+WEIGHTS = {"DOCUMENT_SUBTOTAL": 6, "DOCUMENT_TAX_TOTAL": 8, "DOCUMENT_GRAND_TOTAL": 10, "EXACT_FILE_DUPLICATE": 25, "POTENTIAL_DUPLICATE": 20, "HISTORICAL_PRICE_ANOMALY": 15, "REGIONAL_SUPPLIER_PRICE": 15, "SUPPLIER_VERIFICATION": 10, "RELATED_FINANCIAL_DOCUMENT": 15, "PURCHASE_ORDER_HEADER": 8, "PURCHASE_ORDER_LINES": 12, "GOODS_RECEIPT_MATCH": 12, "SPLIT_INVOICE": 25, "APPROXIMATE_DUPLICATE": 20, "QR_SOURCE_COMPARISON": 8, "XML_SOURCE_COMPARISON": 8, "PROJECT_BUDGET_RELEVANCE": 10, "PROJECT_BUDGET_CAPACITY": 20}
 #: A document without a warning is incomplete if one of these could not be checked.
 FIRST = ("DOCUMENT_SUBTOTAL", "DOCUMENT_TAX_TOTAL", "DOCUMENT_GRAND_TOTAL", "EXACT_FILE_DUPLICATE", "POTENTIAL_DUPLICATE")
 
@@ -180,10 +180,15 @@ def budget_usage(d: Domain) -> DataFrame:
     return rows.select("project_id", "currency", "budget", "approved", "committed", "pending", exposure.alias("exposure"), (F.col("budget") - exposure).cast(MONEY).alias("remaining"))
 
 
-def all_checks(d: Domain) -> DataFrame:
-    """(id, code, status) of the checks; a document without a row of a check is not checked by it, as one that it is not for."""
+def all_checks(d: Domain, approximate: bool = False) -> DataFrame:
+    """(id, code, status) of the checks; a document without a row of a check is not checked by it, as one that it is not for.
+
+    Approximate duplicates, which take a sequence matcher, are among them only if asked for.
+    """
     from auditlake.operators.intake import order_header_match
     from auditlake.operators.prices import price_history, regional_prices
+    from auditlake.operators.similar import approximate_duplicates
+    from auditlake.sources.structured import payload_comparison, xml_comparison
 
     def of(code, rows):
         return rows.select("id", F.lit(code).alias("code"), "status")
@@ -205,16 +210,19 @@ def all_checks(d: Domain) -> DataFrame:
         ("SPLIT_INVOICE", split_invoices(d)),
         ("PROJECT_BUDGET_RELEVANCE", budget_relevance(d)),
         ("PROJECT_BUDGET_CAPACITY", budget_capacity(d)),
+        ("XML_SOURCE_COMPARISON", xml_comparison(d)),
+        ("QR_SOURCE_COMPARISON", payload_comparison(d)),
+        *([("APPROXIMATE_DUPLICATE", approximate_duplicates(d))] if approximate else []),
     ):
         out = out.unionByName(of(code, rows))
     return out
 
 
-def risk_scores(d: Domain) -> DataFrame:
+def risk_scores(d: Domain, approximate: bool = False) -> DataFrame:
     """Weights of a document's warnings added up, to 100 at most; its level; and how sure it is, by checks evaluated."""
     weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
     warned = F.col("status") == WARNING
-    rows = all_checks(d).groupBy("id").agg(
+    rows = all_checks(d, approximate).groupBy("id").agg(
         F.least(F.sum(F.when(warned, F.element_at(weight, F.col("code"))).otherwise(0)), F.lit(100)).cast("long").alias("score"),
         F.count_if(warned).alias("warnings"),
         F.count_if(F.col("status") != NOT_CHECKED).alias("evaluated"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.operators import checks, events, prices, reports, scope
+from auditlake.plans.sources import COMPARISONS, VALUES
 from auditlake.sources.tables import Domain
 
 CURRENCY, AS_OF = "SAR", "1998-06-15"
@@ -41,6 +42,7 @@ QUERIES = {
     "regional_price_exact": _domain(prices.regional_prices),
     "regional_price_report": _domain(prices.region_comparisons),
     "risk_scores": _domain(checks.risk_scores),
+    "risk_scores_with_approximate": _domain(lambda d: checks.risk_scores(d, approximate=True)),
     "dashboard_summary": _domain(lambda d: reports.summary(d, CURRENCY)),
     "status_histogram": _domain(lambda d: reports.status_histogram(d, CURRENCY)),
     "monthly_trend": _domain(lambda d: reports.monthly_trend(d, CURRENCY, AS_OF)),
@@ -209,7 +211,7 @@ SELECT user_id, state, moves FROM f QUALIFY row_number() OVER (PARTITION BY user
 PRINTED = {"DOCUMENT_SUBTOTAL": ("subtotal - discount", 100), "DOCUMENT_TAX_TOTAL": ("tax", 0), "DOCUMENT_GRAND_TOTAL": ("total", 100)}
 HEADER = """hm AS (SELECT id, CASE WHEN po IS NULL THEN 'NOT_CHECKED' WHEN k % 7 = 0 OR (k % 9 = 0 AND currency <> 'USD') THEN 'WARNING' ELSE 'PASS' END AS status FROM hd)"""
 WORST = "SELECT invoice_id, '{}', CASE WHEN bool_or(status = 'WARNING') THEN 'WARNING' ELSE 'PASS' END FROM ({}) WHERE status <> 'NOT_CHECKED' GROUP BY 1"
-RISK = f"""{DUP}, {VER}, {RELATED}, {LINKED}, {SPLIT}, {RELV}, {CAP}, {HEADER},
+RISK = f"""{VALUES}, {COMPARISONS}, {DUP}, {VER}, {RELATED}, {LINKED}, {SPLIT}, {RELV}, {CAP}, {HEADER},
 att AS (SELECT hd.id, company_id, sha256(text) AS sha FROM hd JOIN documents ON doc_id = k % (SELECT count(*) FROM documents)),
 al AS ({" UNION ALL ".join(f"SELECT id, '{code}' AS code, CASE WHEN k % 13 = 0 OR {v} IS NULL THEN 'NOT_CHECKED' WHEN k % 11 = 0 AND {add} <> 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM inv" for code, (v, add) in PRINTED.items())}
   UNION ALL SELECT id, 'EXACT_FILE_DUPLICATE', CASE WHEN n > 1 THEN 'WARNING' ELSE 'PASS' END FROM hd LEFT JOIN (SELECT id, count(*) OVER (PARTITION BY company_id, sha) AS n FROM att) USING (id)
@@ -219,7 +221,7 @@ al AS ({" UNION ALL ".join(f"SELECT id, '{code}' AS code, CASE WHEN k % 13 = 0 O
   UNION ALL SELECT id, 'SUPPLIER_VERIFICATION', status FROM ver UNION ALL SELECT id, 'RELATED_FINANCIAL_DOCUMENT', status FROM rel UNION ALL SELECT id, 'PURCHASE_ORDER_HEADER', status FROM hm
   UNION ALL SELECT id, 'PURCHASE_ORDER_LINES', CASE WHEN bool_or(price <> oprice OR billed > ordered) THEN 'WARNING' ELSE 'PASS' END FROM lk GROUP BY id
   UNION ALL SELECT id, 'GOODS_RECEIPT_MATCH', CASE WHEN bool_or(received < billed) THEN 'WARNING' ELSE 'PASS' END FROM lk GROUP BY id
-  UNION ALL SELECT id, 'SPLIT_INVOICE', status FROM split
+  UNION ALL SELECT id, 'SPLIT_INVOICE', status FROM split UNION ALL SELECT id, 'XML_SOURCE_COMPARISON', status FROM xc UNION ALL SELECT id, 'QR_SOURCE_COMPARISON', status FROM qc
   UNION ALL SELECT id, 'PROJECT_BUDGET_RELEVANCE', CASE WHEN lines = 0 THEN 'NOT_CHECKED' WHEN unlinked > 0 THEN 'WARNING' ELSE 'PASS' END FROM rv
   UNION ALL SELECT id, 'PROJECT_BUDGET_CAPACITY', status FROM capacity),
 w AS (SELECT unnest({list(checks.WEIGHTS)}) AS code, unnest({list(checks.WEIGHTS.values())}) AS w),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import documents
 from auditlake.plans.catalogue import V
+from auditlake.plans.sources import COMPARISONS, VALUES
 from auditlake.sources import structured
 from auditlake.sources.tables import Domain
 
@@ -44,25 +45,6 @@ SOURCES = f"""so AS (SELECT id, 'XML' AS kind, 'invoice_number' AS field, lower(
 KEY = "regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
-#: Confirmed values of each document (c_), and what its XML (x_) and payload (q_) hold where it is accepted; amounts in cents.
-VALUES = """cf AS (SELECT inv.id, inv.id % 2 = 0 AND total IS NOT NULL AS xml, s_name AS c_name, lpad(inv.supplier_id::VARCHAR, 15, '3') AS c_tax, number AS c_number, invoice_date::VARCHAR AS c_day, currency AS c_currency,
-  CASE WHEN k % 13 = 0 OR k % 11 <> 0 THEN subtotal - discount ELSE subtotal - discount + 100 END AS c_net, tax AS c_vat, coalesce(printed, total) AS c_total, subtotal - discount AS net, tax AS vat, total,
-  inv.id % 3 = 0 AND total IS NOT NULL AND inv.supplier_id IS NOT NULL AND invoice_date IS NOT NULL AND inv.id % 23 NOT BETWEEN 1 AND 7 AS qr FROM inv LEFT JOIN supplier ON s_suppkey = inv.supplier_id)"""
-
-
-def _compared(held: str, pairs: list[tuple[str, str]]) -> str:
-    """pairs of SQL for (given, confirmed); what is not given is null."""
-    given = lambda g: f"({g}) IS NOT NULL"
-    count = lambda f: " + ".join(f"CASE WHEN {f(g, c)} THEN 1 ELSE 0 END" for g, c in pairs)
-    sums = {"compared": count(lambda g, c: f"{given(g)} AND ({c}) IS NOT NULL"), "mismatches": count(lambda g, c: f"({g}) <> ({c})"), "not_comparable": count(lambda g, c: f"{given(g)} AND ({c}) IS NULL")}
-    columns = ", ".join(f"(CASE WHEN {held} THEN {v} ELSE 0 END)::BIGINT AS {a}" for a, v in sums.items())
-    return V + f", {VALUES}, cm AS (SELECT id, {columns} FROM cf) SELECT *, CASE WHEN mismatches > 0 THEN 'WARNING' WHEN compared > 0 THEN 'PASS' ELSE 'NOT_CHECKED' END AS status FROM cm"
-
-
-XML_PAIRS = [("1", "1"), ("lower(CASE WHEN id % 19 = 8 THEN 'Other' ELSE c_name END)", "lower(c_name)"), ("c_tax", "c_tax"), ("c_number", "c_number"), ("CASE WHEN id % 19 <> 3 THEN c_day END", "c_day"), ("c_currency", "c_currency"),
-    ("net", "c_net"), ("CASE WHEN id % 19 <> 4 THEN vat END", "c_vat"), ("CASE WHEN id % 19 = 5 THEN total + 500 ELSE total END", "c_total")]
-QR_PAIRS = [("coalesce(c_name, 'Unknown')", "c_name"), ("c_tax", "c_tax"), ("c_day", "c_day"), ("vat", "c_vat"), ("CASE WHEN id % 9 = 0 THEN total + 500 ELSE total END", "c_total")]
-
 ORACLE = {
     "document_lines": V + f", {PRINTED}, {LINES}, w AS (SELECT *, len(string_split(label || ' ' || value, ' ')) AS n FROM pl0) SELECT id AS doc_id, line::INTEGER AS line, label || ' ' || value AS text, regexp_matches(label, '[؀-ۿ]') AS rtl, true AS is_ocr, round(0.95 - 0.01 * (n - 1), 2)::DOUBLE AS confidence, round(0.05 + 0.06 * line + 0.001 * least(n - 1, 2) + 0.02, 3)::DOUBLE AS bottom FROM w",
     "parsed_fields": V + f", {PRINTED}, {READ} SELECT id AS doc_id, field, value, confidence::DOUBLE AS confidence, warning FROM rd",
@@ -70,6 +52,6 @@ ORACLE = {
     "merged_fields": V + f""", {PRINTED}, {READ}, {SOURCES}, t AS (SELECT id, field, count(DISTINCT CASE WHEN field = 'grand_total' THEN value::DECIMAL(22,4)::VARCHAR ELSE {KEY.format(c='value')} END) AS n, arg_min(value, CASE WHEN kind = 'XML' THEN 0 ELSE 1 END) AS taken FROM so GROUP BY ALL),
 r AS (SELECT id, field, value FROM rd WHERE value IS NOT NULL), j AS (SELECT coalesce(r.id, t.id) AS id, coalesce(r.field, t.field) AS field, value, n, taken FROM r FULL JOIN t ON r.id = t.id AND r.field = t.field)
 SELECT id AS doc_id, field, CASE WHEN n > 1 THEN NULL ELSE coalesce(taken, value) END AS value, CASE WHEN n > 1 THEN 'STRUCTURED_SOURCE_CONFLICT_' || upper(field) WHEN value <> taken THEN 'VISIBLE_TEXT_CONFLICT_' || upper(field) END AS warning FROM j""",
-    "xml_source_comparison": _compared("xml", XML_PAIRS),
-    "qr_source_comparison": _compared("qr", QR_PAIRS),
+    "xml_source_comparison": V + f", {VALUES}, {COMPARISONS} SELECT * FROM xc",
+    "qr_source_comparison": V + f", {VALUES}, {COMPARISONS} SELECT * FROM qc",
 }

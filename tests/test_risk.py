@@ -2,7 +2,7 @@
 
 import duckdb
 
-from auditlake.operators import checks, reports
+from auditlake.operators import checks, reports, similar
 from auditlake.plans import catalogue as c
 from auditlake.sources.tables import Domain
 
@@ -20,7 +20,7 @@ def connected():
 
 def test_risk_of_all_checks(spark):
     con, d = connected(), Domain(spark, SF)
-    risk = checks.risk_scores(d).select("id", "score", "warnings", "evaluated", "level", "confidence", "summary").localCheckpoint()
+    risk = checks.risk_scores(d).select("id", "score", "warnings", "evaluated", "level", "confidence", "summary")
     want = con.execute(f"{SQL} SELECT id, score, warnings, evaluated, {c.LEVEL}{LEVELS} FROM risk").fetchall()
     assert sorted(map(tuple, risk.collect())) == sorted(want)
     assert {r[5] for r in want} >= {"MEDIUM", "HIGH"} and {r[6] for r in want} >= {"NEEDS_REVIEW"}
@@ -35,6 +35,19 @@ def test_risk_of_all_checks(spark):
 def test_incomplete_without_a_warning(spark, monkeypatch):
     rows = [(i, code, checks.PASS) for i in (1, 2, 3) for code in checks.WEIGHTS if (i, code) not in {(2, "DOCUMENT_TAX_TOTAL"), (3, "SPLIT_INVOICE")}]
     rows += [(2, "DOCUMENT_TAX_TOTAL", checks.NOT_CHECKED), (3, "SPLIT_INVOICE", checks.NOT_CHECKED)]
-    monkeypatch.setattr(checks, "all_checks", lambda d: spark.createDataFrame(rows, "id long, code string, status string"))
+    monkeypatch.setattr(checks, "all_checks", lambda d, approximate: spark.createDataFrame(rows, "id long, code string, status string"))
     got = {r.id: (r.evaluated, r.confidence, r.summary) for r in checks.risk_scores(None).collect()}
-    assert got == {1: (15, "HIGH", "PASS"), 2: (14, "HIGH", "INCOMPLETE"), 3: (14, "HIGH", "PASS")}
+    assert got == {1: (18, "HIGH", "PASS"), 2: (17, "HIGH", "INCOMPLETE"), 3: (17, "HIGH", "PASS")}
+
+
+def test_approximate_duplicates_add_to_the_risk(spark):
+    d = Domain(spark, SF)
+    weight = checks.WEIGHTS["APPROXIMATE_DUPLICATE"]
+    plain = {r.id: r for r in checks.risk_scores(d).collect()}
+    alike = {r.id: r.status for r in similar.approximate_duplicates(d).select("id", "status").collect()}
+    full = {r.id: r for r in checks.risk_scores(d, approximate=True).collect()}
+    assert full.keys() == plain.keys() and checks.WARNING in alike.values()
+    for i, r in full.items():
+        warned = alike.get(i) == checks.WARNING
+        assert (r.score, r.warnings) == (min(100, plain[i].score + weight * warned), plain[i].warnings + warned)
+        assert r.evaluated == plain[i].evaluated + (alike.get(i, checks.NOT_CHECKED) != checks.NOT_CHECKED)
