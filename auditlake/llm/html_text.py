@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import random
 import re
@@ -28,7 +29,9 @@ WEAK, STRONG = 1, 2
 WEAK_TAGS = {"form", "fieldset", "dialog"}
 SPACE = " "
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>""", re.S)
+_START = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_PLAIN, _QUOTE = re.compile(r"[^<>]*>"), re.compile("[\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 
@@ -63,6 +66,57 @@ def _kind(tag: str, attributes: str) -> tuple[int, bool, bool]:
     return beside, tag in MAIN_TAGS or main and not beside, tag == "header" or "header" in marks
 
 
+class _Markup:
+    """Elements, comments and sections of a page one after another, each place of the page being looked at a fixed number of times.
+
+    A tag ends at the first > outside quotes, or, where quotes never close before one, at the first > if no < comes before.
+    A search that meets no such > to the end of the page is remembered with its quotes: one that starts outside of them
+    would meet none either. As a quote moves what stands within double, within single and without quotes to different places,
+    no more than three searches differ.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.failed: list[tuple[int, list[int], list[int]]] = []
+
+    def _end(self, at: int) -> int:
+        if at > self.last:
+            return -1
+        for begin, opens, closes in self.failed:
+            i = bisect.bisect_left(opens, at) - 1
+            if at >= begin and not (i >= 0 and at <= closes[i]):
+                return -1
+        if m := _REST.match(self.page, at):
+            return m.end()
+        opens, closes, place = [], [], at
+        while q := _QUOTE.search(self.page, place):
+            end = self.page.find(q[0], q.end())
+            opens.append(q.start())
+            closes.append(end if end >= 0 else len(self.page))
+            place = closes[-1] + 1
+        self.failed.append((at, opens, closes))
+        return -1
+
+    def find(self, at: int) -> tuple[int, int, str, bool, str, str] | None:
+        """Start, end, name, whether it closes, attributes, and text of a section, of what comes next."""
+        page = self.page
+        while m := _START.search(page, at):
+            begin, at = m.span()
+            if m[2]:
+                end = self._end(at)
+                if end < 0 and at <= self.last and (plain := _PLAIN.match(page, at)):
+                    end = plain.end()
+                if end >= 0:
+                    return begin, end, m[2].lower(), bool(m[1]), page[at : end - 1], ""
+                continue
+            mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            end = page.find(mark, at)
+            if end >= 0 or mark != ">":
+                text = page[at : end if end >= 0 else None] if mark == "]]>" else ""
+                return begin, end + len(mark) if end >= 0 else len(page), "", False, "", text
+        return None
+
+
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, own features) of each flat text block, in page order."""
     page = page or ""
@@ -90,22 +144,17 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
             buffer.clear()
         linked = 0
 
-    find = _TOKEN.search
-    while m := find(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        token = m[0]
-        if token.startswith("<![CDATA["):
-            text(token[9:].removesuffix("]]>"))
-            continue
-        name = m[2] or m[5]
-        if not name:
+    markup = _Markup(page)
+    while m := markup.find(at):
+        begin, end, tag, closing, attributes, section = m
+        text(page[at:begin])
+        at = end
+        if not tag:
+            text(section)
             continue
-        tag, closing = name.lower(), bool(m[1] or m[4])
-        attributes = m[3] or m[6] or ""
         if tag in HIDDEN:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, max(markup.last + 1, at))
                 at = end.end() if end else len(page)
             if tag in ("select", "button", "textarea"):
                 buffer.append(SPACE)
