@@ -197,6 +197,7 @@ def nodes(conversations: DataFrame, deep: int = DEEP, local_bytes: int = LOCAL_B
         survivors = _stripped(level, depth) if depth else None
     columns = [x.split()[0] for x in NODE.split(", ")]
     every = reduce(DataFrame.unionByName, [x.select(*columns) for x in levels]) if levels else paths.sparkSession.createDataFrame([], NODE)
+    every = materialize(every, "trie-nodes")
     ended = paths.select(F.coalesce(_key(F.col("depth")), F.lit(b"")).alias("end_key"), "conv_id")
     digests = ended.repartition("end_key").sortWithinPartitions("end_key", "conv_id").mapInArrow(tidy(_digests), "end_key binary, ends_sha256 string")
     # a node's digest tells its depth too, so keys are those of single nodes
