@@ -62,8 +62,30 @@ def without_marks(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pc.if_else(cut, word, pieces), pc.if_else(cut, mark, "")
 
 
-def encode_pieces(pieces: pa.Array, encode: Encode, known: tuple[pa.Array, pa.Array] | None) -> pa.LargeBinaryArray:
-    """Raw ids of each piece with a space before it; known has words and their raw ids."""
+#: Words that a worker keeps from batch to batch, and bytes of the longest.
+MOST_RECENT, LONGEST_RECENT = 400_000, 64
+
+
+class Recent:
+    """Words of the last batches and their raw ids, the latest first; a text's ids don't depend on what is kept."""
+
+    def __init__(self, most: int = MOST_RECENT):
+        self.most, self.pair = most, None
+
+    def keep(self, words: pa.Array, raw: pa.LargeBinaryArray) -> None:
+        short = pc.less_equal(pc.binary_length(words), LONGEST_RECENT)
+        words, raw = words.filter(short), raw.filter(short)
+        if self.pair is not None and len(words) < self.most:
+            older = pc.invert(pc.is_in(self.pair[0], value_set=words))
+            words, raw = pa.concat_arrays([words, self.pair[0].filter(older)]), pa.concat_arrays([raw, self.pair[1].filter(older)])
+        first = pa.array(np.arange(min(self.most, len(words))))
+        self.pair = words.take(first), raw.take(first)
+
+
+def encode_pieces(pieces: pa.Array, encode: Encode, known: tuple[pa.Array, pa.Array] | Recent | None) -> pa.LargeBinaryArray:
+    """Raw ids of each piece with a space before it; known has words and their raw ids, or keeps those of the last batches."""
+    recent = known if isinstance(known, Recent) else None
+    known = recent.pair if recent else known
     word, mark = (x.dictionary_encode() for x in without_marks(pieces))
     words, marks = word.dictionary, mark.dictionary
     parts, place = [], np.zeros(len(words), np.int64)
@@ -76,6 +98,8 @@ def encode_pieces(pieces: pa.Array, encode: Encode, known: tuple[pa.Array, pa.Ar
     at = sum(map(len, parts))
     place[new] = at + np.arange(new.sum())
     parts.append(packed(*encode([" " + w for w in words.filter(pa.array(new)).to_pylist()])))
+    if recent and len(words):
+        recent.keep(words, pa.concat_arrays(parts).take(pa.array(place)))
     at = sum(map(len, parts))
     parts.append(packed(*encode(marks.to_pylist())))
     both = np.empty(2 * len(pieces), np.int64)
@@ -85,7 +109,7 @@ def encode_pieces(pieces: pa.Array, encode: Encode, known: tuple[pa.Array, pa.Ar
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(np.ascontiguousarray(_bounds(made)[::2])), made.buffers()[2]])
 
 
-def encode_texts(texts: pa.Array, encode: Encode, known: tuple[pa.Array, pa.Array] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, encode: Encode, known: tuple[pa.Array, pa.Array] | Recent | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts one after another, and where those of each begin (and the end). Null texts are empty."""
     if not len(texts):
         return np.zeros(0, "<i4"), np.zeros(1, np.int64)

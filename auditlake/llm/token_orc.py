@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import input_partitions, materialize, scratch_path
-from auditlake.llm.pieces import Encode, batches_of, encode_texts, packed
+from auditlake.llm.pieces import Encode, Recent, batches_of, encode_texts, packed
 
 END_ID = 2
 #: ORC writer settings: 16 MB stripes, an index entry for each 10,000 rows, Bloom filters on doc_id.
 ORC = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "10000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.encoding.strategy": "SPEED", "compression": "snappy"}
 
 _encoders: dict[str, Encode] = {}
+#: Words of the last batches by vocabulary, one per Python worker.
+_recent: dict[str, Recent] = {}
 #: The bytes that byte-level vocabularies write as themselves; the others follow from code point 256 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
@@ -69,7 +71,7 @@ def encode_batches(vocabulary: str, end_id: int):
 
         for batch in batches:
             for some in batches_of(batch, 1):
-                ids, at = encode_texts(some.column(1), encoder(vocabulary))
+                ids, at = encode_texts(some.column(1), encoder(vocabulary), _recent.setdefault(vocabulary, Recent()))
                 ends = at + np.arange(len(at))
                 values = np.full(ends[-1], end_id, "<i4")
                 own = np.ones(len(values), bool)

@@ -62,6 +62,12 @@ def test_texts_have_the_ids_of_the_library_as_it_is_loaded():
     ids, at = pieces.encode_texts(pa.array([*texts, None]), token_orc.encoder(JSON))
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [t.encode(x, add_special_tokens=False).ids for x in [*texts, ""]]
     assert pieces.encode_texts(pa.array([], pa.string()), token_orc.encoder(JSON))[1].tolist() == [0]
+    for most in (0, 5, 10_000):
+        recent = pieces.Recent(most)
+        for lo in range(0, len(texts), 150):  # words of one batch are found in the next, and ids stay the same
+            part, where = pieces.encode_texts(pa.array(texts[lo : lo + 150]), token_orc.encoder(JSON), recent)
+            assert part.tolist() == ids[at[lo] : at[min(lo + 150, len(texts))]].tolist() and where[-1] == len(part)
+        assert len(recent.pair[0]) == len(recent.pair[1]) <= most
 
 
 def test_bpe_random_texts():
