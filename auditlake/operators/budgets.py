@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.money import MONEY, money, signed
 from auditlake.operators.checks import WARNING, WEIGHTS, all_checks
+from auditlake.operators.events import numbered
 from auditlake.operators.reports import project_breakdown
 from auditlake.operators.scope import members
 from auditlake.sources.tables import CLONE, COUNTED, SUBMITTED, Domain
@@ -108,9 +109,8 @@ def project_ranking(d: Domain, currency: str) -> DataFrame:
     """Projects by the size of what is approved and under review, then by number."""
     rows = project_breakdown(d, currency)
     size = F.abs("approved_net") + F.abs("review_net")
-    order = F.struct((-size).alias("s"), "project_id", "approved_net", "review_net")
-    rows = rows.agg(F.sort_array(F.collect_list(order)).alias("r"))  # one entry for each project
-    return rows.select(F.posexplode("r").alias("i", "p")).select((F.col("i") + 1).cast("long").alias("place"), "p.project_id", "p.approved_net", "p.review_net")
+    rows = numbered(rows.select((-size).alias("order"), "project_id", "approved_net", "review_net"), "order", "project_id")
+    return rows.select("place", "project_id", "approved_net", "review_net")
 
 
 def related_options(d: Domain, most: int = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.sources.tables import written
+
 #: What an action does in a state; any other pair leaves the state as it is.
 STEPS = {
     ("DRAFT", "SUBMIT"): "PROJECT_REVIEW",
@@ -46,6 +48,19 @@ def in_order(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with their place from 1 in order over all partitions: places within a part, and the rows of the parts before it.
+
+    One task holds one row for each part, and so does what is broadcast.
+    """
+    rows = written(in_order(rows, *order), "numbered")
+    sizes = rows.groupBy("part").agg(F.count("*").alias("rows_of_part"))
+    before = F.coalesce(F.sum("rows_of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    rows = rows.withColumn("inside", inside).join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
+    return rows.withColumn("place", (F.col("before") + F.col("inside")).cast("long")).drop("part", "before", "inside")
+
+
 def _fold_parts(states: list[str]):
     """(user_id, part, to, moves) of each user's rows in a partition: where each state leads, and in how many moves."""
     table = [{i: states.index(STEPS[s, a]) for i, s in enumerate(states) if (s, a) in STEPS} for a in ACTIONS.values()]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.operators.events import micros
+from auditlake.operators.events import in_order, micros
+from auditlake.sources.tables import written
 
 #: Seconds of a lease and attempts of a job.
 LEASE, ATTEMPTS = 360, 2
@@ -58,13 +59,34 @@ def latest_decision(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "k"), F.struct(micros("ts"), "event_id")).alias("e")).select("user_id", "e.event_id", "e.event_type", "e.k")
 
 
+def _ordered(rows: DataFrame, *more: str) -> DataFrame:
+    """Events with at and owner (the user as text, empty for none), sorted by owner and time and cut into parts by sampled ranges, so that a user with many is in several tasks."""
+    owner = F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("owner")
+    return written(in_order(rows.select(owner, "user_id", micros("ts").alias("at"), "event_id", *more), "owner", "at", "event_id"), "ordered")
+
+
+def _in_part():
+    """Rows of a user in a part, in order."""
+    return Window.partitionBy("owner", "part").orderBy("at", "event_id")
+
+
+def _so_far():
+    return _in_part().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _earlier():
+    """A user's parts before one."""
+    return Window.partitionBy("owner").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def fenced_results(events: DataFrame) -> DataFrame:
     """Results (purchases) with the revision (signups so far) that they were made for, and whether it is still the current one."""
-    log = Window.partitionBy("user_id").orderBy(micros("ts"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("revision", F.count_if(F.col("event_type") == "signup").over(log))
-    current = events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "signup").alias("current"))
-    rows = rows.filter("event_type = 'purchase'").join(current, "user_id")
-    return rows.select("event_id", "user_id", "revision", "current", (F.col("revision") == F.col("current")).alias("accepted"))
+    rows = _ordered(events.withColumn("new", (F.col("event_type") == "signup").cast("long")), "event_type", "new")
+    parts = rows.groupBy("owner", "part").agg(F.sum("new").alias("n"))
+    parts = parts.withColumns({"before": F.coalesce(F.sum("n").over(_earlier()), F.lit(0)), "current": F.sum("n").over(Window.partitionBy("owner"))}).drop("n")
+    rows = rows.withColumn("inside", F.sum("new").over(_so_far())).filter("event_type = 'purchase'").join(parts, ["owner", "part"])
+    revision = F.col("before") + F.col("inside")
+    return rows.select("event_id", "user_id", revision.alias("revision"), "current", (revision == F.col("current")).alias("accepted"))
 
 
 def idempotent(events: DataFrame) -> DataFrame:
@@ -97,6 +119,26 @@ def inbox_counts(events: DataFrame, unread_only: bool = False) -> DataFrame:
 
 def limit_history(events: DataFrame) -> DataFrame:
     """Each user's limit (the value of purchases, to cents) with the time from which it holds and the time when the next one does."""
-    log = Window.partitionBy("user_id").orderBy("valid_from", "event_id")
-    rows = events.filter("event_type = 'purchase'").select("user_id", "event_id", F.col("value").cast("decimal(22,2)").alias("amount"), micros("ts").alias("valid_from"))
-    return rows.withColumn("valid_to", F.lead("valid_from").over(log))
+    rows = _ordered(events.filter("event_type = 'purchase'").withColumn("amount", F.col("value").cast("decimal(22,2)")), "amount")
+    begins = rows.groupBy("owner", "part").agg(F.min("at").alias("begin"))
+    parts = begins.withColumn("next_part", F.lead("begin").over(Window.partitionBy("owner").orderBy("part"))).drop("begin")
+    rows = rows.withColumn("next_row", F.lead("at").over(_in_part())).join(parts, ["owner", "part"])
+    return rows.select("user_id", "event_id", "amount", F.col("at").alias("valid_from"), F.coalesce("next_row", "next_part").alias("valid_to"))
+
+
+def authority_as_of(events: DataFrame) -> DataFrame:
+    """Decisions (views, of their value to cents) with the limit that their user had then, and whether it covers them.
+
+    The limit is that of the user's last purchase before the decision, by time and then event_id; without one nothing is
+    covered. Limits and decisions are one sorted log, cut by sampled ranges; each part carries on the last limit of those
+    before it, so there is no join by range, and a user with many events is in several tasks.
+    """
+    amount = F.col("value").cast("decimal(22,2)")
+    limit = F.when(F.col("event_type") == "purchase", F.struct(F.col("event_id").alias("limit_id"), amount.alias("amount")))
+    rows = _ordered(events.filter(F.col("event_type").isin("purchase", "view")).withColumns({"limit": limit, "asked": amount}), "event_type", "limit", "asked")
+    last = F.max_by("limit", F.when(F.col("limit").isNotNull(), F.struct("at", "event_id")))
+    parts = rows.groupBy("owner", "part").agg(last.alias("last"))
+    parts = parts.withColumn("before", F.last("last", ignorenulls=True).over(_earlier())).drop("last")
+    rows = rows.withColumn("inside", F.last("limit", ignorenulls=True).over(_so_far())).filter("event_type = 'view'").join(parts, ["owner", "part"])
+    held = F.coalesce("inside", "before")
+    return rows.select("event_id", "user_id", F.col("asked").alias("amount"), held["limit_id"].alias("limit_id"), held["amount"].alias("limit_amount"), F.coalesce(F.col("asked") <= held["amount"], F.lit(False)).alias("within"))

@@ -47,6 +47,7 @@ QUERIES = {
     "notification_inbox": _events(lambda e: jobs.inbox(e, 7)),
     "inbox_counts": _events(jobs.inbox_counts),
     "limit_history": _events(jobs.limit_history),
+    "authority_as_of": _events(jobs.authority_as_of),
 }
 
 BUCKETS = ", ".join(f"coalesce(sum(v) FILTER (WHERE status IN {s}), 0) AS {n}" for n, s in (("a", "('APPROVED')"), ("c", "('FINANCE_REVIEW')"), ("p", "('PROJECT_REVIEW', 'CHANGES_REQUESTED')")))
@@ -93,4 +94,7 @@ SELECT project_id, currency, count(*) AS documents, bool_and(total <= least) AS
     "notification_inbox": "SELECT event_id, event_type, event_id % 2 = 0 AS read FROM events WHERE user_id = 7",
     "inbox_counts": "SELECT user_id AS recipient, count(*) AS total, count(*) FILTER (WHERE event_id % 2 <> 0) AS unread FROM events GROUP BY 1",
     "limit_history": "SELECT user_id, event_id, value::DECIMAL(22,2) AS amount, epoch_us(ts) AS valid_from, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events WHERE event_type = 'purchase'",
+    "authority_as_of": """WITH l AS (SELECT *, value::DECIMAL(22,2) AS amount, last_value(CASE WHEN event_type = 'purchase' THEN {'id': event_id, 'amount': value::DECIMAL(22,2)} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held
+  FROM events WHERE event_type IN ('purchase', 'view'))
+SELECT event_id, user_id, amount, held.id AS limit_id, held.amount AS limit_amount, coalesce(amount <= held.amount, false) AS within FROM l WHERE event_type = 'view'""",
 }
