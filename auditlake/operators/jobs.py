@@ -89,14 +89,21 @@ def fenced_results(events: DataFrame) -> DataFrame:
     return rows.select("event_id", "user_id", revision.alias("revision"), "current", (revision == F.col("current")).alias("accepted"))
 
 
+KEY = ["user_id", "event_type", "day"]
+
+
+def requests(events: DataFrame) -> DataFrame:
+    """Events as requests with their key, time and fingerprint."""
+    print_ = F.sha2(F.concat_ws("|", F.lit("value"), F.format_string("%.2f", F.col("value"))), 256)
+    return events.select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"), micros("ts").alias("at"), print_.alias("fingerprint"))
+
+
 def idempotent(events: DataFrame) -> DataFrame:
     """Requests by user, kind and day: the first is accepted, a later one with the same fingerprint is a replay, any other a conflict."""
-    key = ["user_id", "event_type", "day"]
-    print_ = F.sha2(F.concat_ws("|", F.lit("value"), F.format_string("%.2f", F.col("value"))), 256)
-    rows = events.select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"), micros("ts").alias("at"), print_.alias("fingerprint"))
-    first = rows.groupBy(*key).agg(F.min_by(F.struct("event_id", "fingerprint"), F.struct("at", "event_id")).alias("f"))
+    rows = requests(events)
+    first = rows.groupBy(*KEY).agg(F.min_by(F.struct("event_id", "fingerprint"), F.struct("at", "event_id")).alias("f"))
     state = F.when(F.col("event_id") == F.col("f.event_id"), "ACCEPTED").when(F.col("fingerprint") == F.col("f.fingerprint"), "REPLAYED").otherwise("CONFLICT")
-    return rows.join(first, key).select("event_id", "fingerprint", F.col("f.event_id").alias("first_id"), state.alias("state"))
+    return rows.join(first, KEY).select("event_id", "fingerprint", F.col("f.event_id").alias("first_id"), state.alias("state"))
 
 
 def active_admission(table: DataFrame, most: int) -> DataFrame:

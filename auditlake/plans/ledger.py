@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from auditlake.operators import budgets, jobs, similar
 from auditlake.plans.catalogue import APP, CNT, CURRENCY, LINKED, ME, REV, RISK, SUB, VAL, V, m
-from auditlake.sources.tables import Domain
+from auditlake.sources.tables import Domain, new_folder
+from auditlake.streaming import queue
 
 ACTIVE = 100
 
@@ -17,6 +20,43 @@ def _events(f):
     return lambda spark, sf_dir: f(Domain(spark, sf_dir).read("events"))
 
 
+def _kept(events, name: str):
+    """(folder, schema) of rows as files that a stream reads."""
+    path = new_folder(events.sparkSession, name)
+    events.write.parquet(path)
+    return path, events.schema
+
+
+def _stream(spark, path: str, schema):
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def first_claims(events):
+    """The first claim of each job of the log, from the stream of its messages."""
+    spark = events.sparkSession
+    rows = queue.replayed(queue.leases(_stream(spark, *_kept(queue.messages(events), "messages")), "0 seconds"), "leases")
+    first = F.min_by(F.struct("new_state", "error", "new_attempts"), F.struct("at", "new_attempts")).alias("c")
+    return rows.groupBy("job_id").agg(first).select("job_id", "c.new_state", "c.error", "c.new_attempts")
+
+
+def _outcomes(rows, judge, schema: str, name: str):
+    spark, out = rows.sparkSession, new_folder(rows.sparkSession, name)
+    queue.judged(_stream(spark, *_kept(rows, f"{name}-in")), judge, schema, out, f"{out}-checkpoint").awaitTermination()
+    return queue.outcomes(spark, out, schema)
+
+
+def fenced_stream(events):
+    """Results of the log, fenced in a stream by the revisions that hold at its end."""
+    current = events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "signup").alias("current"))
+    results = jobs.fenced_results(events).select("event_id", "user_id", "revision")
+    return _outcomes(results, queue.fence(lambda: current), queue.FENCED, "fenced").select("event_id", "user_id", "revision", "current", "accepted")
+
+
+def ingest_stream(events):
+    """Requests of the log as a stream takes them in."""
+    return _outcomes(events, queue.ingest, queue.INGESTED, "ingested").select("event_id", "fingerprint", "first_id", "state")
+
+
 QUERIES = {
     "approximate_duplicates": _domain(similar.approximate_duplicates),
     "budget_line_usage": _domain(budgets.budget_line_usage),
@@ -48,6 +88,9 @@ QUERIES = {
     "inbox_counts": _events(jobs.inbox_counts),
     "limit_history": _events(jobs.limit_history),
     "authority_as_of": _events(jobs.authority_as_of),
+    "queue_claims_stream": _events(first_claims),
+    "fenced_results_stream": _events(fenced_stream),
+    "idempotent_requests_stream": _events(ingest_stream),
 }
 
 BUCKETS = ", ".join(f"coalesce(sum(v) FILTER (WHERE status IN {s}), 0) AS {n}" for n, s in (("a", "('APPROVED')"), ("c", "('FINANCE_REVIEW')"), ("p", "('PROJECT_REVIEW', 'CHANGES_REQUESTED')")))
@@ -98,3 +141,5 @@ SELECT project_id, currency, count(*) AS documents, bool_and(total <= least) AS
   FROM events WHERE event_type IN ('purchase', 'view'))
 SELECT event_id, user_id, amount, held.id AS limit_id, held.amount AS limit_amount, coalesce(amount <= held.amount, false) AS within FROM l WHERE event_type = 'view'""",
 }
+ORACLE["queue_claims_stream"] = f"SELECT job_id, new_state, error, new_attempts FROM ({ORACLE['queue_claims']})"
+ORACLE["fenced_results_stream"], ORACLE["idempotent_requests_stream"] = ORACLE["fenced_results"], ORACLE["idempotent_requests"]
