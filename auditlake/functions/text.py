@@ -49,6 +49,19 @@ def number_key(c: Column) -> Column:
     return F.nullif(F.when(_is_plain(c), plain).otherwise(_letters_and_digits(F.when(~_is_plain(c), c))), F.lit(""))
 
 
+@F.pandas_udf(T.StringType())
+def _one_line(c: pd.Series) -> pd.Series:
+    """Spaces collapsed, compatible forms composed, case folded."""
+    return c.map(lambda s: None if s is None else unicodedata.normalize("NFKC", " ".join(s.split())).casefold())
+
+
+def name_key(c: Column) -> Column:
+    """SHA-256 of a name with its spaces collapsed, compatible forms composed and case folded. Only names beyond ASCII go to Python."""
+    spaces = r"[\x09-\x0D\x1C-\x20]+"
+    plain = F.lower(F.regexp_replace(F.regexp_replace(c, spaces, " "), "^ | $", ""))
+    return F.sha2(F.when(_is_plain(c), plain).otherwise(_one_line(F.when(~_is_plain(c), c))), 256)
+
+
 def phrase(c: Column) -> Column:
     """Words of a description, folded, joined by one space; a hyphen between a letter and a digit joins them (CAT-6 is cat6)."""
     folded = F.when(_is_plain(c), F.lower(c)).otherwise(_folded(F.when(~_is_plain(c), c)))

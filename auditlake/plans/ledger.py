@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import budgets, jobs, similar
-from auditlake.plans.catalogue import APP, CNT, CURRENCY, LINKED, ME, REV, RISK, SUB, VAL, V, m
+from auditlake.operators import budgets, jobs, reports, similar
+from auditlake.plans.catalogue import APP, CNT, CURRENCY, LINKED, ME, REV, RISK, SAFE, SUB, VAL, V, m
 from auditlake.sources.tables import Domain, new_folder
 from auditlake.streaming import queue
 
@@ -88,6 +88,10 @@ QUERIES = {
     "inbox_counts": _events(jobs.inbox_counts),
     "limit_history": _events(jobs.limit_history),
     "authority_as_of": _events(jobs.authority_as_of),
+    "full_register": _domain(reports.full_register),
+    "status_page": _domain(lambda d: reports.status_page(d, "FINANCE_REVIEW", 2)),
+    "order_list": _domain(lambda d: reports.order_list(d, 3)),
+    "supplier_keys": _domain(reports.supplier_keys),
     "queue_claims_stream": _events(first_claims),
     "fenced_results_stream": _events(fenced_stream),
     "idempotent_requests_stream": _events(ingest_stream),
@@ -143,3 +147,22 @@ SELECT event_id, user_id, amount, held.id AS limit_id, held.amount AS limit_amou
 }
 ORACLE["queue_claims_stream"] = f"SELECT job_id, new_state, error, new_attempts FROM ({ORACLE['queue_claims']})"
 ORACLE["fenced_results_stream"], ORACLE["idempotent_requests_stream"] = ORACLE["fenced_results"], ORACLE["idempotent_requests"]
+
+
+def _labels(c: str, labels: dict[str, str]) -> str:
+    return f"CASE {c} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items())} END"
+
+
+def _iso(c: str) -> str:
+    return f"strftime(make_timestamp(({c}) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"
+
+
+ORACLE["full_register"] = V + f""", k AS (SELECT event_id // 2 AS id, ts, event_id, (props->>'$.k')::BIGINT AS score FROM events WHERE event_type IN ('purchase', 'error') AND (props->>'$.k') IS NOT NULL),
+dr AS (SELECT id, score, CASE WHEN score >= 50 THEN 'HIGH' WHEN score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT inv.id, {SAFE.format(c='number')} AS number, {_labels('document_type', reports.DOCUMENT_LABELS)} AS document_type, {_labels('status', reports.STATUS_LABELS)} AS status, 'P' || lpad(project_id::VARCHAR, 3, '0') AS project_code, 'Project ' || project_id AS project,
+  {SAFE.format(c='s_name')} AS supplier, {SAFE.format(c='region')} AS region, invoice_date, currency, {m('subtotal', 'subtotal')}, {m('discount', 'discount')}, {m('tax', 'tax')}, {m('total', 'total')}, {m('signed', 'signed_total')},
+  score, {_labels('level', reports.RISK_LABELS)} AS level, score // 10 AS warnings, 'User ' || created_by AS creator, {_iso('created_at')} AS created, CASE WHEN status <> 'CHANGES_REQUESTED' THEN {_iso('created_at + 3600')} END AS submitted
+FROM inv LEFT JOIN sup USING (supplier_id) LEFT JOIN supplier ON s_suppkey = inv.supplier_id LEFT JOIN dr ON dr.id = inv.id WHERE status <> 'DRAFT'"""
+ORACLE["status_page"] = V + "SELECT id, created_at, count(*) OVER () AS total FROM hd WHERE status = 'FINANCE_REVIEW' ORDER BY created_at DESC, id LIMIT 20 OFFSET 20"
+ORACLE["order_list"] = V + f", me AS ({ME}) SELECT po AS purchase_order_id, project_id, invoice_date AS order_date, created_at FROM hd WHERE po IS NOT NULL AND id < 1000000000 AND project_id IN (SELECT project_id FROM me WHERE user_id = 3 AND role = 'MANAGER')"
+ORACLE["supplier_keys"] = "SELECT s_suppkey AS supplier_id, sha256(lower(trim(regexp_replace(s_name, '\\s+', ' ', 'g')))) AS name_key FROM supplier WHERE s_suppkey IS NOT NULL"
