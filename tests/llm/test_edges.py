@@ -176,3 +176,12 @@ def test_empty_tables(crowded, apply):
 def test_very_long_turns(spark):
     turns = spark.createDataFrame([(1, 0, "user", LONG), (1, 1, "assistant", LONG * 5)], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_conversations(turns)).first().loss_chars == 5 * len(LONG)
+
+
+def test_all_labels_count_beyond_the_broadcast(spark, monkeypatch):
+    text = lambda i: " ".join(f"word{i}x{j}" for j in range(60)) + " #" * (i % 3)
+    docs = spark.createDataFrame([(i, "en", text(i)) for i in range(800)], "doc_id long, lang string, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 5 > 0, 1).otherwise(0).alias("quality"))
+    want = sorted(map(tuple, quality.fit_cutoffs(docs, labels).collect()))
+    monkeypatch.setattr(quality, "MAX_LABELS", 40)
+    assert sorted(map(tuple, quality.fit_cutoffs(docs, labels).collect())) == want and want
