@@ -51,3 +51,13 @@ def test_approximate_duplicates_add_to_the_risk(spark):
         warned = alike.get(i) == checks.WARNING
         assert (r.score, r.warnings) == (min(100, plain[i].score + weight * warned), plain[i].warnings + warned)
         assert r.evaluated == plain[i].evaluated + (alike.get(i, checks.NOT_CHECKED) != checks.NOT_CHECKED)
+
+
+def test_linked_lines_are_read_once_for_both_checks(spark):
+    d = Domain(spark, SF)
+    got = {(r.id, r.code): r.status for r in checks.linked_checks(d).collect()}
+    want = {}
+    for code, rows in (("PURCHASE_ORDER_LINES", checks.order_lines(d)), ("GOODS_RECEIPT_MATCH", checks.receipts(d))):
+        for r in rows.select("id", "status").collect():
+            want[r.id, code] = checks.WARNING if checks.WARNING in (want.get((r.id, code)), r.status) else checks.PASS
+    assert got == want and set(want.values()) == {checks.WARNING, checks.PASS}
