@@ -65,3 +65,10 @@ def test_admission(spark):
     rows = [(1, f"2024-01-01 00:00:{s:02}") for s in (0, 5, 9, 10, 15, 21)] + [(2, "2024-01-01 00:00:00")] * 2
     events = spark.createDataFrame(rows, "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(map(tuple, intake.admission(events, 10).collect())) == [(1, 3, 3), (2, 1, 1)]
+
+
+def test_a_document_is_parsed_once_for_all_that_is_read_of_it(spark):
+    rows = spark.sql("SELECT 1L AS id, '<!-- a --><Invoice><ID>x</ID></Invoice>' AS xml UNION ALL SELECT 2L, '<CreditNote><ID>y</ID><CreditNoteLine></Invoice>'")
+    fields = structured.xml_fields(rows, "id", "xml")
+    assert fields._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1  # a filter below it would be a second time
+    assert [(r.id, r.document_type, r.invoice_number) for r in fields.collect()] == [(1, "Invoice", "x")]
