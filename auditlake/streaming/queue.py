@@ -13,56 +13,67 @@ from auditlake.sources.tables import new_folder
 
 #: Microseconds of a lease, and for which a finished job is remembered, so that late results are still refused.
 HOLD, KEEP = LEASE * 1_000_000, 86_400_000_000
+#: Most jobs whose states are kept together; any number gives the same rows.
+BLOCK = 256
 STEPS = "job_id long, at long, new_state string, error string, new_attempts long, new_lease long"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Leases(StatefulProcessor):
-    """One job: a claim when it is queued, another whenever its lease ends, and the result of the attempt that holds it.
+    """The jobs of a block of BLOCK successive numbers: a claim when one is queued, another whenever its lease ends, and the result of the attempt that holds it.
 
-    The state is (state, attempts, deadline): the deadline of a running job is the end of its lease, that of a finished
-    one the time when it is forgotten. One timer of event time stands for the deadline.
+    A job's state is (state, attempts, deadline): the deadline of a running job is the end of its lease, that of a
+    finished one the time when it is forgotten. A block's states are read and written together, and one timer of event
+    time stands for its earliest deadline, so calls grow with blocks and not with jobs.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "state string, attempts long, deadline long")
+        self.jobs = handle.getListState("jobs", "job_id long, state string, attempts long, deadline long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        job = self.job.get() if self.job.exists() else None
-        job, due, out = job and tuple(job), job and job[2], []
-        for m in sorted(rows, key=lambda m: (m.at, m.kind)):  # a job's own messages of one batch
-            job, steps = _until(job, m.at)
-            out += steps
+        jobs, due = self._held()
+        out = []
+        for m in sorted(rows, key=lambda m: (m.job_id, m.at, m.kind)):  # a job's own messages of one batch
+            job, steps = _until(jobs.get(m.job_id), m.at)
             if m.kind == "result":
                 job, step = _result(job, m)
             elif job is not None:
-                continue  # sent again
+                step = None  # sent again
             elif m.state == "QUEUED":
                 job, step = _claim(m.attempts, m.at)
             else:
                 job, step = (m.state, m.attempts, m.lease_until if m.state == "RUNNING" else m.at + KEEP), None
-            out += [step] if step else []
-        self._store(job, due)
-        return iter([Row(job_id=key[0], **s) for s in out])
+            out += [Row(job_id=m.job_id, **s) for s in (*steps, *([step] if step else []))]
+            jobs[m.job_id] = job
+        self._store(jobs, due)
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.job.exists():
-            return iter([])
-        job = tuple(self.job.get())
-        after, steps = _until(job, timerValues.getCurrentWatermarkInMs() * 1000)
-        self._store(after, None)  # the timer that fired is gone
-        return iter([Row(job_id=key[0], **s) for s in steps])
-
-    def _store(self, job, due) -> None:
-        if due is not None and (job is None or job[2] != due):
+        jobs, _ = self._held()
+        now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        for number, job in jobs.items():
+            jobs[number], steps = _until(job, now)
+            out += [Row(job_id=number, **s) for s in steps]
+        self._store(jobs, None)  # the timer that fired is gone
+        return iter(out)
+
+    def _held(self) -> tuple[dict, int | None]:
+        """States by job, and the earliest deadline."""
+        jobs = {j[0]: tuple(j)[1:] for j in self.jobs.get()}
+        return jobs, min((job[2] for job in jobs.values()), default=None)
+
+    def _store(self, jobs: dict, due: int | None) -> None:
+        held = [(number, *job) for number, job in jobs.items() if job is not None]
+        first = min((j[3] for j in held), default=None)
+        if due is not None and first != due:
             self.handle.deleteTimer(due // 1000 + 1)
-        if job is None:
-            self.job.clear()
+        if held:
+            self.jobs.put(held)
         else:
-            self.job.update(job)
-            if due != job[2]:
-                self.handle.registerTimer(job[2] // 1000 + 1)
+            self.jobs.clear()
+        if first is not None and first != due:
+            self.handle.registerTimer(first // 1000 + 1)
 
     def close(self) -> None:
         pass
@@ -112,7 +123,8 @@ def leases(stream: DataFrame, late: str) -> DataFrame:
     are still taken; within a batch they are put in order. Messages without a job or a time belong to no job and are left out.
     """
     rows = stream.filter("job_id is not null and ts is not null").withWatermark("ts", late)
-    return rows.groupBy("job_id").transformWithState(Leases(), STEPS, "Append", "EventTime")
+    rows = rows.withColumn("block", F.col("job_id") - F.pmod("job_id", F.lit(BLOCK)))
+    return rows.groupBy("block").transformWithState(Leases(), STEPS, "Append", "EventTime")
 
 
 def replayed(rows: DataFrame, name: str) -> DataFrame:
