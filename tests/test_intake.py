@@ -72,3 +72,10 @@ def test_a_document_is_parsed_once_for_all_that_is_read_of_it(spark):
     fields = structured.xml_fields(rows, "id", "xml")
     assert fields._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1  # a filter below it would be a second time
     assert [(r.id, r.document_type, r.invoice_number) for r in fields.collect()] == [(1, "Invoice", "x")]
+
+
+def test_payloads_are_made_and_decoded_once(spark):
+    from auditlake.plans.intake import QUERIES
+
+    plan = QUERIES["tlv_fields"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Base64.encode") == 1 and plan.count("as timestamp)") == 1
