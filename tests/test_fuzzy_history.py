@@ -22,6 +22,12 @@ def alike(a, b):
     return max(SequenceMatcher(None, a, b).ratio(), len({*x} & {*y}) / len({*x} | {*y}))
 
 
+def test_fuzzy_history_in_small_parts_and_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(prices, "TOGETHER", 1)
+    monkeypatch.setattr(prices, "FEW_PAIRS", -1)
+    test_fuzzy_history(spark, monkeypatch)
+
+
 def test_fuzzy_history(spark, monkeypatch):
     lines = [(i, 1 + k, WORDS[(i * 5 + k * 2) % 6], 100 + 7 * i + k, date(2024, 1, 1) + timedelta(days=20 * i), i) for i in range(1, 25) for k in range(2)]
     sql = "invoice_id long, position int, phrase string, p int, day date, created_at long"
